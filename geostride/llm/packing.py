@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geostride.llm.tokens import default_path, encoder, slices
-from geostride.session import materialize, table
+from geostride.session import materialize, ship, table
 
 CAPACITY = 2048
 END_ID = 0
@@ -177,6 +177,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[int, tuple
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, and ids as bytes if asked for) of the whole texts."""
+    ship(docs.sparkSession)
     tokenizer = tokenizer or default_path()
     tail = struct.pack("<I", end_id)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
@@ -202,6 +203,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
 def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to pieces. cut must be written already: it is read twice."""
     spark = cut.sparkSession
+    ship(spark)
     slices_ = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sliced = cut.withColumn("_slice", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(slices_)).cast("int"))
     per_slice = sliced.groupBy("length", "_slice").agg(F.count("*").alias("_n"))

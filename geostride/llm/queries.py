@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geostride.llm import mixing, packing, pii, records, spotsigs, url_filter
+from geostride.llm import embeddings, langid, mixing, packing, pii, records, spotsigs, toxicity, url_filter
 from geostride.session import table
 
 
@@ -18,9 +18,13 @@ QUERIES = {
     "op4_packing": packing.query,
     "op5_fingerprints": spotsigs.query,
     "op6_records": records.query,
+    "op7_embeddings": embeddings.query,
     "op8_mixing": op8_mixing,
+    "op9_langid": langid.query,
+    "op10_toxicity": toxicity.query,
 }
 ORACLE_SQL = {
     "op1_url_filter": url_filter.ORACLE_SQL,
+    "op7_embeddings": embeddings.ORACLE_SQL,
     "op8_mixing": mixing.ORACLE_SQL,
 }

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geostride.llm.tokens import default_path, encoder, slices
-from geostride.session import fresh_path, materialize, table
+from geostride.session import fresh_path, materialize, ship, table
 
 END_ID = 2
 HEAD, BODY = struct.Struct("<QI"), struct.Struct("<BqB")
@@ -74,6 +74,7 @@ def read_record(content: bytes, at: int) -> tuple[int | None, bytes, int]:
 
 def write_records(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, files: int | None = None) -> None:
     """Encode docs (doc_id, text) and write the record files below path."""
+    ship(docs.sparkSession)
     tokenizer = tokenizer or default_path()
     tail = struct.pack("<I", end_id)
 
@@ -108,6 +109,7 @@ def index_records(spark: SparkSession, path: str) -> DataFrame:
                     columns = list(zip(*rows[k : k + 10_000], strict=True))
                     yield pa.record_batch([pa.array(c, pa.string() if i == 0 else pa.int64()) for i, c in enumerate(columns)], [f.split()[0] for f in RECORD.split(", ")])
 
+    ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     return files.mapInArrow(parsed, RECORD)
 
@@ -132,6 +134,7 @@ def read_at(spark: SparkSession, path: str, places: DataFrame) -> DataFrame:
                 found = [read_record(content, at)[:2] for at in offsets]
                 yield pa.record_batch([pa.array([d for d, _ in found], pa.int64()), pa.array([np.frombuffer(x, "<u4").astype("i8") for _, x in found], pa.list_(pa.int64()))], ["doc_id", "ids"])
 
+    ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
     wanted = places.groupBy("file").agg(F.collect_list("offset").alias("offsets"))  # no more than a file's own records
     return files.join(wanted, "file").select("content", "offsets").mapInArrow(pick, "doc_id long, ids array<long>")
