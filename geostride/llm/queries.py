@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geostride.llm import embeddings, langid, mixing, packing, pii, records, spotsigs, toxicity, url_filter
+from geostride.llm import embeddings, langid, mixing, ngram_join, packing, pii, records, spotsigs, toxicity, url_filter
 from geostride.session import table
 
 
@@ -15,6 +15,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_url_filter": url_filter.query,
     "op2_pii": pii.query,
+    "op3_ngram_join": ngram_join.query,
     "op4_packing": packing.query,
     "op5_fingerprints": spotsigs.query,
     "op6_records": records.query,
