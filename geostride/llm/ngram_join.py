@@ -29,7 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from geostride.llm import bloom
 from geostride.llm.graph import components
+from geostride.llm.memory import released, released_group
 from geostride.llm.shingles import set_hash, shingle_sets
 from geostride.llm.signature_tree import Tree
 from geostride.llm.tokens import slices
@@ -42,7 +44,7 @@ CHUNK_SETS, CHUNK_TOKENS, BUCKET_TOKENS = 2000, 2_000_000, 2_000_000
 LEAST_TASKS = 64
 #: A token of so many sets of one slice is settled inside its task.
 FREQUENT = 16
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 500_000
 #: Bytes of a token's hash that are sent (with the bucket's number they tell tokens apart).
 WIDTH = 5
 
@@ -59,7 +61,7 @@ def set_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
                 names = [set_hash(x) if len(x) and k is not None else None for k, x in zip(keys.to_pylist(), sets, strict=True)]
                 yield pa.record_batch([keys, pa.array([len(x) for x in sets], pa.int64()), pa.array(names, pa.int64())], ["key", "n", "s"])
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text)).mapInArrow(hashed, "key long, n long, s long")
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text)).mapInArrow(released(hashed), "key long, n long, s long")
 
 
 def _pack(name: np.ndarray, counts: np.ndarray, tokens: np.ndarray, known: np.ndarray) -> bytes:
@@ -143,23 +145,30 @@ def shared_counts(docs: DataFrame, buckets: int, text: str = "text") -> DataFram
         settled = pd.DataFrame({"s": known[:, 0], "shared": known[:, 1]})
         return pd.concat([out, settled]).astype("i8")
 
-    blobs = docs.select(text).mapInArrow(sent, "bucket int, blob binary")
-    return blobs.groupBy("bucket").applyInPandas(counted, "s long, shared long").groupBy("s").agg(F.sum("shared").alias("shared"))
+    blobs = docs.select(text).mapInArrow(released(sent), "bucket int, blob binary")
+    return blobs.groupBy("bucket").applyInPandas(released_group(counted), "s long, shared long").groupBy("s").agg(F.sum("shared").alias("shared"))
 
 
-def token_sets(docs: DataFrame) -> DataFrame:
-    """docs: (s, text), one row a set. (s, n, tokens)."""
+def token_sets(docs: DataFrame, chosen: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(s, n, tokens) of the chosen (s, rep), one row a set. A filter of fixed size lets the texts of the chosen keys
+    through to be cut into tokens; then only tokens, not texts, are dealt out for the exact join."""
+    lets_through = bloom.build(chosen.select("rep"))
 
     def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            keys = batch.column(0)
+            known = keys.is_valid().to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(known & bloom.may_hold(lets_through, keys.fill_null(0).to_numpy(zero_copy_only=False)))
+            texts = batch.column(1).take(pa.array(at)).to_pylist()
+            own = keys.take(pa.array(at))
             for a, b in slices(texts, SLICE_CHARS):
                 sets = shingle_sets(texts[a:b])
-                # rows that share a key may differ in text: only the text of this set counts
-                own = [(s, x) for s, x in zip(batch.column(0).slice(a, b - a).to_pylist(), sets, strict=True) if len(x) and set_hash(x) == s]
-                yield pa.record_batch([pa.array([s for s, _ in own], pa.int64()), pa.array([len(x) for _, x in own], pa.int64()), pa.array([x.view(np.int64) for _, x in own], pa.list_(pa.int64()))], ["s", "n", "tokens"])
+                yield pa.record_batch([own.slice(a, b - a), pa.array([set_hash(x) if len(x) else None for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["rep", "s", "n", "tokens"])
 
-    return docs.select("s", "text").mapInArrow(taken, "s long, n long, tokens array<long>")
+    cut = docs.select(F.col(key).cast("long").alias("rep"), F.col(text)).mapInArrow(released(taken), "rep long, s long, n long, tokens array<long>")
+    # rows that share a key may differ in text, so both have to agree; dealt by s, which the last step needs as well
+    exact = cut.join(chosen.withColumnRenamed("rep", "own"), "s").filter("rep = own")
+    return exact.select("s", "n", "tokens").dropDuplicates(["s"])
 
 
 def rare_tokens(sets: DataFrame, percent: int) -> DataFrame:
@@ -206,7 +215,7 @@ def _run_trees(parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     bins = max(LEAST_TASKS, int(sets.count() // 2000))
     parts = parts.withColumn("t0", F.when(small, F.pmod(F.xxhash64("block"), F.lit(bins))).otherwise(F.col("block"))).withColumn("t1", F.when(small, -1).otherwise(F.col("chunk")))
     fed = parts.join(sets.select("s", "tokens"), "s").select("t0", "t1", "block", "s", "tokens")
-    return materialize(fed.groupBy("t0", "t1").applyInPandas(_tree_task(percent, False), "a long, b long"), "ngram-links")
+    return materialize(fed.groupBy("t0", "t1").applyInPandas(released_group(_tree_task(percent, False)), "a long, b long"), "ngram-links")
 
 
 def link_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -233,7 +242,7 @@ def link_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         every = F.sequence(F.lit(0), F.col("of") - 1)
         pairs = F.transform(every, lambda k: F.struct(F.least("chunk", k).alias("i"), F.greatest("chunk", k).alias("j")))
         fed = rest.withColumn("p", F.explode(pairs)).join(sets.select("s", "tokens"), "s").select("block", "p.i", "p.j", "s", "label", "tokens")
-        edges = edges.union(materialize(fed.groupBy("block", "i", "j").applyInPandas(_tree_task(percent, True), "a long, b long"), "ngram-links"))
+        edges = edges.union(materialize(fed.groupBy("block", "i", "j").applyInPandas(released_group(_tree_task(percent, True)), "a long, b long"), "ngram-links"))
     return components(edges).withColumnRenamed("node", "s")
 
 
@@ -247,9 +256,7 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", p
     shared = shared_counts(docs, int(buckets), text)
     may_link = F.col("shared") >= F.ceil(F.col("n") * percent / 100)
     chosen = materialize(distinct.join(shared, "s").filter(may_link).select("s", "rep"), "ngram-chosen")
-    # the chosen table was written: Spark broadcasts it only where it is known to be small
-    texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text")).join(chosen, "rep")
-    sets = materialize(token_sets(texts).dropDuplicates(["s"]), "ngram-tokens")
+    sets = materialize(token_sets(docs, chosen, key, text), "ngram-tokens")
     linked = link_components(sets, percent)
     reps = distinct.join(linked.withColumnRenamed("component", "c"), "s", "left").withColumn("c", F.coalesce("c", "s"))
     named = reps.groupBy("c").agg(F.min("rep").alias("component_id"))
