@@ -74,7 +74,7 @@ def linked_pairs(a: np.ndarray, b: np.ndarray | None, least: float) -> tuple[np.
     codes, factor = encode(a)
     other = a if b is None else b
     rotated = other @ rotation(a.shape[1]).T
-    left, right = [], []
+    left, right = [np.zeros(0, int)], [np.zeros(0, int)]
     for k in range(0, len(a), 512):
         i, j = np.nonzero(upper_bounds(codes[k : k + 512], factor[k : k + 512], rotated) >= least)
         i += k

@@ -56,11 +56,11 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray
     """The distinct shingles of each text, sorted: all runs of `words` words; with fewer words the whole sequence; none
     without words or text."""
     hashes, counts = word_hashes([t or "" for t in texts])
-    n = len(hashes)
-    runs = np.zeros(max(0, n - words + 1), np.uint64)
+    n = max(0, len(hashes) - words + 1)
+    runs = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(words):
-            runs = mix(runs * np.uint64(_ODD) + hashes[k : n - words + 1 + k])
+            runs = mix(runs * np.uint64(_ODD) + hashes[k : n + k])
         out, at = [], 0
         for c in counts.tolist():
             if c >= words:
