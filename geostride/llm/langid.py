@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geostride.llm.memory import released
 from geostride.llm.tokens import slices
 from geostride.session import ship, table
 
@@ -161,7 +162,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 rejected = [x == UNKNOWN or s < model.least for x, s in zip(languages, scores, strict=True)]
                 yield pa.record_batch([*part.columns, pa.array(languages, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], [*names, "lang_pred", "score", "rejected"])
 
-    return docs.select(*names).mapInArrow(scored, schema)
+    return docs.select(*names).mapInArrow(released(scored), schema)
 
 
 def accepted_documents(docs: DataFrame, **columns) -> DataFrame:

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from geostride.llm.memory import released
 from geostride.llm.tokens import default_path, encoder, slices
 from geostride.session import materialize, ship, table
 
@@ -89,18 +90,17 @@ def reduce_by_dominance(counts: dict[int, int], capacity: int) -> list[Bins]:
 
 
 def _largest_pair(sizes: list[int], others, most: int) -> int:
-    best, lo, hi = 0, 0, len(sizes) - 1
-    while lo <= hi:
-        s = sizes[lo] + sizes[hi]
+    """The largest sum of two items besides the one in question that is at most `most`; 0 without one."""
+    there = [x for x in sizes if others(x)]
+    best = max((2 * x for x in there if 2 * x <= most and others(x) >= 2), default=0)
+    lo, hi = 0, len(there) - 1
+    while lo < hi:
+        s = there[lo] + there[hi]
         if s <= most:
-            if lo != hi and others(sizes[lo]) and others(sizes[hi]) or lo == hi and others(sizes[lo]) >= 2:
-                best = max(best, s)
+            best = max(best, s)
             lo += 1
         else:
             hi -= 1
-    for x in sizes:  # pairs of one length, which the walk may step over
-        if 2 * x <= most and others(x) >= 2:
-            best = max(best, 2 * x)
     return best
 
 
@@ -197,7 +197,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
                         rows.append((key, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part), part))
                 yield pa.record_batch([pa.array(c, t) for c, t, _ in zip(zip(*rows, strict=True), kinds, names, strict=False)], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(cut, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(released(cut), schema)
 
 
 def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -232,7 +232,7 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 sequence[at], offset[at] = sequences[k] + ranks[at] - firsts[k], offsets[k]
             yield pa.record_batch([*(batch.column(c) for c in columns), pa.array(sequence), pa.array(offset)], [*columns, "sequence_id", "offset"])
 
-    return ranked.select(*columns, "_rank").mapInArrow(located, schema)
+    return ranked.select(*columns, "_rank").mapInArrow(released(located), schema)
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from geostride.llm.memory import released
 from geostride.llm.tokens import default_path, encoder, slices
 from geostride.session import fresh_path, materialize, ship, table
 
@@ -88,7 +89,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str | None = None, end_
 
     n = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(n, F.col("doc_id").asc_nulls_first())
-    records = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(framed, "record binary")
+    records = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(released(framed), "record binary")
     # a cast to string keeps the bytes as they are, and the text writer writes them as they are
     records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
 
@@ -111,7 +112,7 @@ def index_records(spark: SparkSession, path: str) -> DataFrame:
 
     ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInArrow(parsed, RECORD)
+    return files.mapInArrow(released(parsed), RECORD)
 
 
 def with_starts(index: DataFrame) -> DataFrame:
@@ -137,7 +138,7 @@ def read_at(spark: SparkSession, path: str, places: DataFrame) -> DataFrame:
     ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
     wanted = places.groupBy("file").agg(F.collect_list("offset").alias("offsets"))  # no more than a file's own records
-    return files.join(wanted, "file").select("content", "offsets").mapInArrow(pick, "doc_id long, ids array<long>")
+    return files.join(wanted, "file").select("content", "offsets").mapInArrow(released(pick), "doc_id long, ids array<long>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 import numpy as np
 
 #: Ids of so many distinct pieces are kept by a worker; then it starts over.
-CACHE = 400_000
+CACHE = 200_000
 SAFE = re.compile("[\\t\\n\\r\\x20-\\x7eÀ-ÖØ-öø-ÿ]*")
 #: The split of the tokenizer's own file, for lower-cased safe text.
 PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\s0-9a-zß-öø-ÿ]+")
@@ -38,9 +38,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            shape = json.load(f)
-        self.by_piece = KNOWN_SPLIT in json.dumps(shape.get("pre_tokenizer"), ensure_ascii=False).replace("\\\\", "\\") and "Lowercase" in json.dumps(shape.get("normalizer"))
+        state = lambda part: "" if part is None else json.dumps(json.loads(part.__getstate__()), ensure_ascii=False)
+        self.by_piece = KNOWN_SPLIT in state(self.tokenizer.pre_tokenizer).replace("\\\\", "\\") and "Lowercase" in state(self.tokenizer.normalizer)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True

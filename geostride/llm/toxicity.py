@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geostride.llm.memory import released
 from geostride.llm.tokens import slices
 from geostride.session import ship, table
 
@@ -264,7 +265,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(s), pa.array((s >= 0.5).astype("i4"))], [key, "score", "predicted"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(scored, f"`{key}` {kind}, score double, predicted int")
+    return docs.select(key, text).mapInArrow(released(scored), f"`{key}` {kind}, score double, predicted int")
 
 
 def toxic_spans(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
@@ -293,7 +294,7 @@ def toxic_spans(docs: DataFrame, model: Model, key: str = "doc_id", text: str =
                     yield pa.record_batch([pa.array([k] * len(runs), batch.schema.field(0).type), pa.array(s, pa.int32()), pa.array(e, pa.int32()), pa.array(q, pa.float64())], [key, "start", "end", "probability"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(tagged, f"`{key}` {kind}, start int, end int, probability double")
+    return docs.select(key, text).mapInArrow(released(tagged), f"`{key}` {kind}, start int, end int, probability double")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
