@@ -10,6 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Used only where the session names no shared folder (local tests).
 FALLBACK_DIR = "file:///tmp/checkpoints/geostride"
 
@@ -70,3 +71,6 @@ def ship(spark: SparkSession) -> None:
             out.write(source, source.relative_to(root.parent).as_posix())
     context.addPyFile(str(archive))
     context._geostride_shipped = True
+    # texts are long: batches of Spark's usual 10,000 rows would hold them several times over in both processes
+    if spark.conf.get(BATCH_ROWS, None) is None:
+        spark.conf.set(BATCH_ROWS, "1000")
