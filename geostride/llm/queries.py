@@ -26,6 +26,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_url_filter": url_filter.ORACLE_SQL,
+    "op3_ngram_join": ngram_join.ORACLE_SQL,
     "op7_embeddings": embeddings.ORACLE_SQL,
     "op8_mixing": mixing.ORACLE_SQL,
 }
