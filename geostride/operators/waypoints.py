@@ -13,8 +13,8 @@ MOST, NAME_BYTES, CLOCK_SET = 32, 23, 100_000
 
 def cut_name(name: Column) -> Column:
     """At most NAME_BYTES bytes of a name; a character that would be split goes whole."""
-    raw = F.substring(F.encode(name, "utf-8"), 1, NAME_BYTES)
-    return F.regexp_replace(F.decode(raw, "utf-8"), "�+$", "")
+    fits = F.filter(F.sequence(F.lit(0), F.lit(NAME_BYTES)), lambda n: F.octet_length(F.substring(name, F.lit(1), n)) <= NAME_BYTES)
+    return F.substring(name, F.lit(1), F.array_max(fits))
 
 
 def default_name(number: Column, local_time: Column, epoch: Column) -> Column:

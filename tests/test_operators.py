@@ -157,7 +157,7 @@ def walk(n=400, seed=6):
         else:
             alt += r.uniform(-1, 1)
         status = "V" if r.random() < 0.04 else "A"
-        rows.append(("d", float(k) if k % 50 else k + 0.2, status, lat, lon, -1000.0 if k % 97 == 0 else alt, r.choice((5.0, 60.0, 120.0)), 3, 1000 if k % 31 else 1500, 1767225700 + k, 1767225700 + k + (400 if k % 83 == 0 else 0), [(6, 40 + k % 7, 38), (6, 42, 39 - k % 9)]))
+        rows.append(("d", float(k) if k % 50 else k + 0.2, status, lat, lon, -1000.0 if k % 97 == 0 else alt, r.choice((5.0, 60.0, 120.0)), 3, 1000 if k % 31 else 1500, 1767225700 + k, 1767225700 + k + (400 if k % 83 == 0 else 0), [(6, 40 + k % 7, 39), (6, 42, 40 - k % 9)]))
     return rows
 
 

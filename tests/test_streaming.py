@@ -1,4 +1,5 @@
 import json
+import os
 import random
 
 import pytest
@@ -20,6 +21,7 @@ def run_stream(spark, tmp_path, rows, schema, step, adds, order, parts=3):
     for k in range(parts):
         text = "\n".join(json.dumps(dict(zip(names, r, strict=True))) for r in rows[k * size : (k + 1) * size])
         (source / f"{k}.json").write_text(text)
+        os.utime(source / f"{k}.json", (1_700_000_000 + 60 * k,) * 2)  # files are taken in the order of their times
     read = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(source))
     query = stream_fold(read, step, adds, order=order).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     query.awaitTermination(120)
@@ -46,7 +48,7 @@ def test_trust(spark, tmp_path):
 @pytest.mark.parametrize("step", ["rate", "survey"])
 def test_policies(spark, tmp_path, step):
     r = random.Random(3)
-    rows = [("d", k * 3000, r.choice("AAV"), 3, 1.0, r.choice((0.0, 5.0, 50.0)), 10 + k * 0.0004, 20.0) for k in range(90)]
+    rows = [("d", k * 3000, "V" if 50 < k < 65 or r.random() < 0.05 else "A", 3, 1.0, (0.0, 5.0, 50.0)[k // 15 % 3], 10 + k * 0.0004, 20.0) for k in range(90)]
     schema = "device string, ms long, status string, mode int, hdop double, speed_kmh double, lat double, lon double"
     function, adds = {"rate": (policies.rate_step, "rate_ms int"), "survey": (policies.survey_step, "why string")}[step]
     got, want = run_stream(spark, tmp_path, rows, schema, function, adds, "ms")
