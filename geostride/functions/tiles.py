@@ -13,6 +13,15 @@ CIRCUMFERENCE_M = 40075016.685578488
 MAX_ZOOM = 30
 
 
+def _shl(b: Column) -> Column:
+    """2^b as a long, without floating point."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), b)
+
+
+def _shr(v: Column, b: Column) -> Column:
+    return F.call_function("shiftright", v, b)
+
+
 def _pow2(z: Column) -> Column:
     return F.pow(F.lit(2.0), z)
 
@@ -67,25 +76,27 @@ def hilbert_id(z: Column, x: Column, y: Column) -> Column:
     z, x, y = z.cast("int"), x.cast("long"), y.cast("long")
 
     def step(acc: Column, b: Column) -> Column:
-        s = F.pow(F.lit(2.0), b).cast("long")
-        rx, ry = F.floor(acc["x"] / s).cast("long"), F.floor(acc["y"] / s).cast("long")
-        low_x, low_y = acc["x"] - rx * s, acc["y"] - ry * s
-        # in the two lower quadrants the curve is mirrored (left) or turned over (right)
-        flip = (ry == 0) & (rx == 1)
-        nx = F.when(flip, s - 1 - low_x).otherwise(low_x)
-        ny = F.when(flip, s - 1 - low_y).otherwise(low_y)
-        return F.struct((acc["d"] + s * s * F.when(ry == 0, rx * 3).otherwise(rx + 1)).alias("d"), F.when(ry == 0, ny).otherwise(nx).alias("x"), F.when(ry == 0, nx).otherwise(ny).alias("y"))
+        # x and y have b + 1 bits; the top ones name the quadrant. In the two quadrants with y's bit 0 the curve is mirrored
+        # (x's bit 0: the coordinates change places) or turned over (1: their lower bits are inverted too)
+        low = _shl(b) - 1
+        right = _shr(acc["x"], b)
+        keep = _shr(acc["y"], b) == 1
+        turn = F.when(keep, F.lit(0).cast("long")).otherwise(-right)
+        nx, ny = acc["x"].bitwiseXOR(turn).bitwiseAND(low), acc["y"].bitwiseXOR(turn).bitwiseAND(low)
+        quadrant = F.when(keep, right + 1).otherwise(right * 3)
+        return F.struct(F.call_function("shiftleft", acc["d"], F.lit(2)).bitwiseOR(quadrant).alias("d"), F.when(keep, nx).otherwise(ny).alias("x"), F.when(keep, ny).otherwise(nx).alias("y"))
 
     bits = F.when(z > 0, F.sequence(z - 1, F.lit(0), F.lit(-1))).otherwise(F.array().cast("array<int>"))
     walked = F.aggregate(bits, F.struct(F.lit(0).cast("long").alias("d"), x.alias("x"), y.alias("y")), step, lambda acc: acc["d"])
-    side = F.pow(F.lit(2.0), z).cast("long")
+    side = _shl(z)
     inside = z.between(0, MAX_ZOOM) & (x >= 0) & (x < side) & (y >= 0) & (y < side)
     return F.when(inside, lower_zooms(z) + walked)
 
 
 def lower_zooms(z: Column) -> Column:
     """(4^z - 1) / 3 as an integer."""
-    return F.floor((F.pow(F.lit(2.0), z * 2).cast("long") - 1).cast("decimal(20,0)") / 3).cast("long")
+    # 4^z - 1 is all ones; every second one of them is a third of it
+    return F.lit(0x5555555555555555).bitwiseAND(_shl(z * 2) - 1)
 
 
 def zoom_of_id(tile_id: Column) -> Column:
@@ -98,8 +109,8 @@ def hilbert_zxy(tile_id: Column) -> Column:
     z = zoom_of_id(tile_id)
 
     def step(acc: Column, b: Column) -> Column:
-        s = F.pow(F.lit(2.0), b).cast("long")
-        quarter = F.pmod(acc["t"], F.lit(4))
+        s = _shl(b)
+        quarter = acc["t"].bitwiseAND(F.lit(3).cast("long"))
         rx = F.when(quarter >= 2, 1).otherwise(0)
         ry = F.when((quarter == 1) | (quarter == 2), 1).otherwise(0)
         flip = (ry == 0) & (rx == 1)

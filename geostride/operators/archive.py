@@ -8,24 +8,24 @@ from pyspark.sql import functions as F
 from geostride.functions.tiles import hilbert_id, tile_bounds_e7
 
 
-def locate_entries(tiles: DataFrame, entries: DataFrame, on: list[str] | None = None, bucket: int = 4096) -> DataFrame:
+def locate_entries(tiles: DataFrame, entries: DataFrame, on: list[str] | None = None, bucket: int = 64) -> DataFrame:
     """Tiles (with tile_id) with the entry that covers them (entry_id, run_length, length, offset), by containment:
     entry_id <= tile_id < entry_id + run_length. on: further equal columns, such as path.
 
-    Ids are cut into buckets, so that the join is one on equal keys and each entry meets only tiles near it. An entry
-    whose run reaches over buckets is listed in each, except that the inner buckets of a long run are found by a second
-    join on the coarser bucket they fill, so that a run of any length is listed a bounded number of times a level."""
+    Ids are cut into buckets, so that the join is one on equal keys. Entries don't overlap, so a tile meets at most
+    `bucket` of them. An entry that reaches over some buckets is listed in each; one that reaches over more than `bucket`
+    is listed in buckets `bucket` squared times as large instead, of which none meets more than `bucket` either."""
     on = on or []
-    wide = bucket * bucket
+    wide = bucket**3
     e = entries.select(*on, F.col("tile_id").alias("entry_id"), "run_length", "length", "offset").filter("run_length > 0")
-    first, last = F.floor(F.col("entry_id") / bucket), F.floor((F.col("entry_id") + F.col("run_length") - 1) / bucket)
-    long_run = last - first > bucket
-    short = e.filter(~long_run).withColumn("_b", F.explode(F.sequence(first, last)))
-    t = tiles.withColumn("_b", F.floor(F.col("tile_id") / bucket))
+    end = F.col("entry_id") + F.col("run_length") - 1
+    part = lambda c, size: F.floor(c / size)
+    first, last = part(F.col("entry_id"), bucket), part(end, bucket)
     inside = (F.col("tile_id") >= F.col("entry_id")) & (F.col("tile_id") < F.col("entry_id") + F.col("run_length"))
-    found = t.join(short, [*on, "_b"]).filter(inside).drop("_b")
-    far = e.filter(long_run).withColumn("_w", F.explode(F.sequence(F.floor(F.col("entry_id") / wide), F.floor((F.col("entry_id") + F.col("run_length") - 1) / wide))))
-    more = tiles.withColumn("_w", F.floor(F.col("tile_id") / wide)).join(far, [*on, "_w"]).filter(inside).drop("_w")
+    short = e.filter(last - first <= bucket).withColumn("_b", F.explode(F.sequence(first, last)))
+    found = tiles.withColumn("_b", part(F.col("tile_id"), bucket)).join(short, [*on, "_b"]).filter(inside).drop("_b")
+    far = e.filter(last - first > bucket).withColumn("_w", F.explode(F.sequence(part(F.col("entry_id"), wide), part(end, wide))))
+    more = tiles.withColumn("_w", part(F.col("tile_id"), wide)).join(far, [*on, "_w"]).filter(inside).drop("_w")
     return found.unionByName(more)
 
 
@@ -45,18 +45,25 @@ def with_ids(entries: DataFrame, partition: list[str], order: str, step: str = "
     return entries.withColumn("tile_id", F.sum(step).over(Window.partitionBy(*partition).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def covers(z: Column, x: Column, y: Column, head: str = "") -> Column:
-    """Whether an archive's zooms and bounds (inclusive, in 1e-7 degrees) meet a tile."""
+BOUNDS = ("min_lon_e7", "max_lon_e7", "min_lat_e7", "max_lat_e7")
+
+
+def with_bounds(tiles: DataFrame) -> DataFrame:
+    """Tiles with their bounds (_t: lon0, lon1, lat0, lat1), worked out once a tile rather than once a pair."""
+    return tiles.withColumn("_t", tile_bounds_e7(F.col("z"), F.col("x"), F.col("y")))
+
+
+def covers(head: str = "") -> Column:
+    """Whether an archive's zooms and bounds (inclusive, in 1e-7 degrees) meet a tile of with_bounds."""
     h = lambda c: F.col(head + c)
-    b = tile_bounds_e7(z, x, y)
-    return z.between(h("min_zoom"), h("max_zoom")) & (b["lon1"] >= h("min_lon_e7")) & (b["lon0"] <= h("max_lon_e7")) & (b["lat1"] >= h("min_lat_e7")) & (b["lat0"] <= h("max_lat_e7"))
+    return F.col("z").between(h("min_zoom"), h("max_zoom")) & (F.col("_t.lon1") >= h("min_lon_e7")) & (F.col("_t.lon0") <= h("max_lon_e7")) & (F.col("_t.lat1") >= h("min_lat_e7")) & (F.col("_t.lat0") <= h("max_lat_e7"))
 
 
 def covered(tiles: DataFrame, headers: DataFrame) -> DataFrame:
     """Tiles that some archive covers. headers is a table of a few archives; it is broadcast only as far as the session's
     threshold allows."""
-    t, h = tiles.alias("t"), headers.select("min_zoom", "max_zoom", "min_lon_e7", "max_lon_e7", "min_lat_e7", "max_lat_e7").alias("h")
-    return t.join(h, covers(F.col("t.z"), F.col("t.x"), F.col("t.y"), "h."), "left_semi")
+    h = headers.select("min_zoom", "max_zoom", *BOUNDS)
+    return with_bounds(tiles).join(h, covers(), "left_semi").drop("_t")
 
 
 def world_floor_complete(headers: DataFrame) -> DataFrame:
@@ -68,9 +75,9 @@ def world_floor_complete(headers: DataFrame) -> DataFrame:
 def local_entry(tiles: DataFrame, archives: DataFrame, entries: DataFrame) -> DataFrame:
     """(z, x, y, path, offset, length): of the archives that cover a tile and hold it, the first in list order.
     archives: headers with archive_order."""
-    wanted = tiles.withColumn("tile_id", hilbert_id(F.col("z"), F.col("x"), F.col("y")))
-    h = archives.select("path", "archive_order", *(F.col(c).alias(f"_{c}") for c in ("min_zoom", "max_zoom", "min_lon_e7", "max_lon_e7", "min_lat_e7", "max_lat_e7")))
-    pairs = wanted.join(h, covers(F.col("z"), F.col("x"), F.col("y"), "_")).select("z", "x", "y", "tile_id", "path", "archive_order")
+    wanted = with_bounds(tiles).withColumn("tile_id", hilbert_id(F.col("z"), F.col("x"), F.col("y")))
+    h = archives.select("path", "archive_order", *(F.col(c).alias(f"_{c}") for c in ("min_zoom", "max_zoom", *BOUNDS)))
+    pairs = wanted.join(h, covers("_")).select("z", "x", "y", "tile_id", "path", "archive_order")
     held = locate_entries(pairs, entries, ["path"])
     best = F.min_by(F.struct("path", "offset", "length"), "archive_order").alias("b")
     return held.groupBy("z", "x", "y").agg(best).select("z", "x", "y", "b.*")
