@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geostride.functions.tiles import hilbert_id, tile_bounds_e7
+from geostride.session import materialize
 
 
 def locate_entries(tiles: DataFrame, entries: DataFrame, on: list[str] | None = None, bucket: int = 64) -> DataFrame:
@@ -75,7 +76,9 @@ def world_floor_complete(headers: DataFrame) -> DataFrame:
 def local_entry(tiles: DataFrame, archives: DataFrame, entries: DataFrame) -> DataFrame:
     """(z, x, y, path, offset, length): of the archives that cover a tile and hold it, the first in list order.
     archives: headers with archive_order."""
-    wanted = with_bounds(tiles).withColumn("tile_id", hilbert_id(F.col("z"), F.col("x"), F.col("y")))
+    if "tile_id" not in tiles.columns:
+        tiles = tiles.withColumn("tile_id", hilbert_id(F.col("z"), F.col("x"), F.col("y")))
+    wanted = with_bounds(tiles)
     h = archives.select("path", "archive_order", *(F.col(c).alias(f"_{c}") for c in ("min_zoom", "max_zoom", *BOUNDS)))
     pairs = wanted.join(h, covers("_")).select("z", "x", "y", "tile_id", "path", "archive_order")
     held = locate_entries(pairs, entries, ["path"])
@@ -87,9 +90,10 @@ def resolve(tiles: DataFrame, cache: DataFrame, archives: DataFrame, entries: Da
     """(z, x, y, source, path, offset, length): cache, else local, else remote, else miss. cache: (tile_id, length), length
     0 for a tile known to be empty, which keeps it from being asked for remotely. remote: (z, x, y, offset, length); None
     for local sources only."""
-    wanted = tiles.select("z", "x", "y").distinct().withColumn("tile_id", hilbert_id(F.col("z"), F.col("x"), F.col("y")))
+    # written once: the ids would otherwise be worked out again in every condition that uses them
+    wanted = materialize(tiles.select("z", "x", "y").distinct().withColumn("tile_id", hilbert_id(F.col("z"), F.col("x"), F.col("y"))), "wanted")
     rows = wanted.join(cache.select("tile_id", F.col("length").alias("c_length")), "tile_id", "left")
-    local = local_entry(wanted.select("z", "x", "y"), archives, entries).withColumnsRenamed({"offset": "l_offset", "length": "l_length"})
+    local = local_entry(wanted, archives, entries).withColumnsRenamed({"offset": "l_offset", "length": "l_length"})
     rows = rows.join(local, ["z", "x", "y"], "left")
     if remote is not None:
         rows = rows.join(remote.select("z", "x", "y", F.col("offset").alias("r_offset"), F.col("length").alias("r_length")), ["z", "x", "y"], "left")
