@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geostride.session import table
+from geostride.session import materialize, table
 
 #: Content words in a chain.
 CHAIN = 3
@@ -81,17 +81,25 @@ def length_partition(n: Column, least: float) -> Column:
 
 def fingerprint_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8) -> DataFrame:
     """Pairs (a, b, likeness) of distinct fingerprints with likeness >= least, a and b the smallest keys of their
-    fingerprint: sets are partitioned by length, meet in the rarer of their signatures (the first ones of a set that
-    cannot all be missed at this likeness) and are compared through pruned Jaccard."""
-    prints = with_fingerprint(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "text").groupBy("fingerprint").agg(F.min("key").alias("key"), F.first("sigs").alias("sigs")).filter(F.size("sigs") > 0)
-    n = F.size("sigs")
-    prefix = F.slice("sigs", 1, (n - F.ceil(n * F.lit(least)) + 1).cast("int"))
-    part = length_partition(n, least)
-    met = prints.select("key", "sigs", F.explode(prefix).alias("sig"), part.alias("part"))
-    left = met.select(F.col("key").alias("a"), F.col("sigs").alias("sa"), "sig", F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"))
-    pairs = left.join(met.select(F.col("key").alias("b"), F.col("sigs").alias("sb"), "sig", "part"), ["sig", "part"]).filter("a <> b").filter((F.least(F.size("sa"), F.size("sb")) >= F.greatest(F.size("sa"), F.size("sb")) * least))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), pruned_jaccard(F.col("sa"), F.col("sb"), least).alias("likeness"))
-    return pairs.filter(F.col("likeness") >= least).distinct()
+    fingerprint. Sets are partitioned by length; within a partition and its neighbour they meet in their rarest
+    signatures, as many as two sets this alike can't all miss, and each pair that has met is compared once, through
+    pruned Jaccard."""
+    prints = with_fingerprint(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "text").groupBy("fingerprint").agg(F.min("key").alias("key"), F.first("sigs").alias("sigs"))
+    prints = materialize(prints.filter((F.size("sigs") > 0) & F.col("key").isNotNull()).select("key", "sigs"), "spotsigs")
+    held = prints.select("key", F.size("sigs").alias("n"), F.explode("sigs").alias("sig"))
+    shared = held.groupBy("sig").agg(F.count("*").alias("f")).filter("f > 1")
+    own = Window.partitionBy("key")
+    ranked = held.join(shared, "sig").withColumn("rank", F.row_number().over(own.orderBy("f", "sig"))).withColumn("shared", F.count("*").over(own))
+    # signatures of no other set come first in the order of rarity
+    most = F.col("n") - F.ceil(F.col("n") * F.lit(least)) + 1
+    met = materialize(ranked.filter(F.col("rank") + F.col("n") - F.col("shared") <= most).select("key", "n", "sig", length_partition(F.col("n"), least).alias("part")), "spotsigs-met")
+    left = met.select(F.col("key").alias("a"), F.col("n").alias("na"), "sig", F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"))
+    right = met.select(F.col("key").alias("b"), F.col("n").alias("nb"), "sig", "part")
+    alike = F.least("na", "nb") >= F.greatest("na", "nb") * least
+    pairs = left.join(right, ["sig", "part"]).filter((F.col("a") != F.col("b")) & alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sets = lambda k, s: prints.select(F.col("key").alias(k), F.col("sigs").alias(s))
+    both = pairs.join(sets("a", "sa"), "a").join(sets("b", "sb"), "b")
+    return both.select("a", "b", pruned_jaccard(F.col("sa"), F.col("sb"), least).alias("likeness")).filter(F.col("likeness") >= least)
 
 
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
