@@ -15,7 +15,7 @@ from collections.abc import Sequence
 
 import numpy as np
 
-#: Ids of so many distinct pieces are kept by a worker; then it starts over.
+#: Ids of so many distinct pieces are kept by a worker; then all go that the batch at hand doesn't hold.
 CACHE = 200_000
 SAFE = re.compile("[\\t\\n\\r\\x20-\\x7eÀ-ÖØ-öø-ÿ]*")
 #: The split of the tokenizer's own file, for lower-cased safe text.
@@ -67,13 +67,14 @@ class Encoder:
                 split.append((k, PIECES.findall(text.lower())))
             else:
                 out[k] = self._whole([text])[0]
-        if len(self.ids) > CACHE:
-            self.ids = {}
         ids = self.ids
-        new = set()
+        met: set[str] = set()
         for _, pieces in split:
-            new.update(pieces)
-        new = [p for p in new if p not in ids]
+            met.update(pieces)
+        new = [p for p in met if p not in ids]
+        if len(ids) + len(new) > CACHE:
+            # what this batch holds stays: the frequent pieces are among it
+            ids = self.ids = {p: ids[p] for p in met if p in ids}
         if new:
             ids.update(zip(new, self._pieces(new), strict=True))
         for k, pieces in split:
