@@ -82,9 +82,9 @@ def write_records(docs: DataFrame, path: str, tokenizer: str | None = None, end_
     def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            for a, b in slices(texts.to_pylist()):
-                ids = encode(texts.slice(a, b - a).to_pylist())
+            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for a, b in slices(texts):
+                ids = encode(texts[a:b])
                 yield pa.record_batch([pa.array([frame(k, x + tail) for k, x in zip(keys[a:b], ids, strict=True)], pa.binary())], ["record"])
 
     n = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
