@@ -43,7 +43,7 @@ LOOSE = {
     "ip": r"((?<![0-9A-Za-z:])(?:[0-9a-fA-F]{1,4}:){3,7}[0-9a-fA-F]{1,4}(?![0-9A-Za-z:]))",
 }
 #: A text without this can't hold a match that counts; cheaper to look for than the match.
-NEEDS = {"email": "[A-Za-z0-9]@[A-Za-z0-9-]|[._%+-]@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": "[0-9][0-9 -]{12}[0-9]", "phone": r"\+[0-9]"}
+NEEDS = {"email": "[A-Za-z0-9]@[A-Za-z0-9-]|[._%+-]@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": "[0-9](?:[ -]?[0-9]){13}", "phone": r"\+[0-9]"}
 OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.|$)){4}$"
 CONTEXT = 24
 CUES = ("call", "tel", "phone", "fax", "mobile", "mail", "contact", "card", "visa", "pay", "ip", "host", "address", "order", "isbn", "version", "ref", "id", "#", "$")

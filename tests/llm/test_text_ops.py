@@ -40,6 +40,18 @@ def test_pii_spans_equal_plain_regular_expressions(spark, tmp_path):
     assert pii.query(spark, empty(spark, tmp_path / "none")).count() == 0
 
 
+def test_pii_cards_with_digits_set_off_one_by_one(spark, tmp_path):
+    cards = ["4111111111111111", "41111111111116", "4111111111111111110"]
+    texts = [f"pay {sep.join(c)} now" for c in cards for sep in ("", " ", "-")] + ["4 1-1 1-1 1-1 1-1 1-1 1-1 1-1 1", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 2", "4 1 1 1 1 1 1 1 1 1 1 1 6", "4  1 1 1 1 1 1 1 1 1 1 1 1 1 1 1"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.query(spark, save(docs, tmp_path)).collect()}
+    for k, t in enumerate(texts):
+        joined = ",".join(f"{pii.KINDS[kind]}:{a}:{b}" for a, kind, b in base_spans(t))
+        assert rows[k].n_card == joined.count("card") and rows[k].base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+    assert sum(r.n_card for r in rows.values()) >= 4
+    assert {r.text for r in pii.redact(docs.filter("doc_id in (0, 1, 2)")).collect()} == {"pay [CARD] now"}
+
+
 def test_pii_trees_add_spans_and_redact(spark):
     texts = ["call 651-555-8500 now", "order 651-555-8500 now", "mail bob [at] mail.com please", "see row (at) x12.left", "plain words only", None, "a@b.cc and +1 (651) 555-8500"]
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
