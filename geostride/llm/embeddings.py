@@ -35,6 +35,8 @@ LEAST = 0.98
 BLOCK = 1500
 BOUND = 6.0
 SEED = 3
+#: Vector lengths with a projection, the most frequent ones: the size of an expression. All blocks of other lengths meet.
+AXES = 64
 
 
 @lru_cache(maxsize=8)
@@ -125,7 +127,8 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     given = given.withColumn("h", F.when(F.col("usable"), F.xxhash64("label", "v")))
     distinct = given.filter("usable").groupBy("label", "h", "v").agg(F.count("*").alias("n"), F.min("key").alias("rep"))
     # the projection: the first rotated coordinate of the unit vector, computed with SQL functions
-    dims = [r["d"] for r in given.filter("usable").select(F.size("v").alias("d")).distinct().limit(64).collect()]
+    lengths = given.filter("usable").groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"))
+    dims = [r["d"] for r in lengths.orderBy(F.desc("n"), "d").limit(AXES).collect()]
     top = F.array_max(F.transform("v", F.abs))
     scaled = F.transform("v", lambda x: x / top)
     length = F.sqrt(F.aggregate("w", F.lit(0.0), lambda a, x: a + x * x))
@@ -133,9 +136,9 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     for d in dims:
         axis = F.when(F.size("v") == d, F.array(*(F.lit(float(x)) for x in rotation(d)[0]))).otherwise(axis)
     dot = F.aggregate(F.zip_with("w", axis, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    # a jitter by hash parts ties
+    # a jitter by hash parts ties. It lies within reach of itself: vectors without an axis are cut by hash, and all their blocks meet
     jitter = F.pmod("h", F.lit(1 << 20)) / (1 << 20) * 1e-6
-    distinct = distinct.withColumn("d", F.size("v")).withColumn("w", scaled).withColumn("p", dot / length + jitter).drop("w")
+    distinct = distinct.withColumn("d", F.size("v")).withColumn("w", scaled).withColumn("p", F.coalesce(dot / length, F.lit(0.0)) + jitter).drop("w")
     distinct = materialize(distinct.withColumnRenamed("v", "embedding"), "emb-distinct")
     reach = math.sqrt(2 - 2 * least) + 3e-6
     # bounds of each label's blocks: quantiles of the projection; one row for each block

@@ -165,6 +165,14 @@ def test_embeddings_equal_every_pair(spark, block):
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want and all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
+def test_embeddings_of_many_lengths_equal_every_pair(spark):
+    r = np.random.default_rng(6)
+    vectors = [np.float32(v + 0.01 * r.standard_normal(d)) for d in range(2, 72) for v in r.standard_normal((3, d)) for _ in range(2)]
+    rows = [(k, [float(x) for x in v], 0) for k, v in enumerate(vectors)]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), block=4).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == plain_links(rows)
+
+
 def test_embeddings_of_nothing(spark, tmp_path):
     assert embeddings.query(spark, empty(spark, tmp_path, "embeddings", "vec_id long, embedding array<float>, label int")).count() == 0
 
