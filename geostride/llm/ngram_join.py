@@ -49,8 +49,10 @@ SLICE_CHARS = 500_000
 WIDTH = 5
 
 
-def set_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n, s): size and hash of each text's shingle set, s null where it is empty or the key is null."""
+def set_table(docs: DataFrame, key: str = "doc_id", text: str = "text", texts_too: bool = False) -> DataFrame:
+    """(key, n, s): size and hash of each text's shingle set, s null where it is empty or the key is null; if asked for,
+    the text too."""
+    names_of = ["key", "n", "s", *(["text"] if texts_too else [])]
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,9 +61,11 @@ def set_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
                 sets = shingle_sets(texts[a:b])
                 keys = batch.column(0).slice(a, b - a)
                 names = [set_hash(x) if len(x) and k is not None else None for k, x in zip(keys.to_pylist(), sets, strict=True)]
-                yield pa.record_batch([keys, pa.array([len(x) for x in sets], pa.int64()), pa.array(names, pa.int64())], ["key", "n", "s"])
+                own = [pa.array(texts[a:b], pa.string())] if texts_too else []
+                yield pa.record_batch([keys, pa.array([len(x) for x in sets], pa.int64()), pa.array(names, pa.int64()), *own], names_of)
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text)).mapInArrow(released(hashed), "key long, n long, s long")
+    schema = "key long, n long, s long" + (", text string" if texts_too else "")
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text)).mapInArrow(released(hashed), schema)
 
 
 def _pack(name: np.ndarray, counts: np.ndarray, tokens: np.ndarray, known: np.ndarray) -> bytes:
@@ -246,8 +250,8 @@ def link_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     return components(edges).withColumnRenamed("node", "s")
 
 
-def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """(key, n_shingles, component_id) of every row."""
+def _set_components(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
+    """(key, n, s, component_id) of every row."""
     ship(docs.sparkSession)
     facts = materialize(set_table(docs, key, text), "ngram-sets")
     distinct = materialize(facts.filter("s is not null").groupBy("s").agg(F.first("n").alias("n"), F.min("key").alias("rep")), "ngram-distinct")
@@ -261,22 +265,31 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", p
     reps = distinct.join(linked.withColumnRenamed("component", "c"), "s", "left").withColumn("c", F.coalesce("c", "s"))
     named = reps.groupBy("c").agg(F.min("rep").alias("component_id"))
     by_set = materialize(reps.join(named, "c").select(F.col("s").alias("set"), "component_id"), "ngram-components")
-    out = facts.filter("s is not null").join(by_set, F.col("s") == F.col("set")).select("key", "n", "component_id")
-    out = out.union(facts.filter("s is null").select("key", "n", F.col("key").alias("component_id")))
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
+    out = facts.filter("s is not null").join(by_set, F.col("s") == F.col("set")).select("key", "n", "s", "component_id")
+    return out.union(facts.filter("s is null").select("key", "n", "s", F.col("key").alias("component_id")))
+
+
+def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """(key, n_shingles, component_id) of every row."""
+    return _set_components(docs, key, text, percent).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """The documents with one of each component: the one with the smallest key; of rows that repeat a key and a text one
-    stays. Rows without a key, a text or words stay."""
-    facts = materialize(ngram_components(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", "text", percent), "ngram-facts")
-    dropped = materialize(facts.filter("key <> component_id").select(F.col("key").alias("_dropped")).distinct(), "ngram-dropped")
+    stays. Rows without a key, a text or words stay. Where rows repeat a key with other texts, each goes by its own text."""
+    facts = materialize(_set_components(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", "text", percent), "ngram-facts")
+    copies = facts.filter("key <> component_id")
+    dropped = materialize(copies.select(F.col("key").alias("_dropped")).distinct(), "ngram-dropped")
     repeated = materialize(facts.groupBy("key").count().filter("count > 1 and key is not null").select(F.col("key").alias("_repeated")), "ngram-repeated")
-    kept = docs.join(dropped, F.col(key) == F.col("_dropped"), "left_anti")
     if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, F.col(key) == F.col("_repeated"), "left_semi").dropDuplicates([key, text])
-    return kept.join(repeated, F.col(key) == F.col("_repeated"), "left_anti").unionByName(once)
+        return docs.join(dropped, F.col(key) == F.col("_dropped"), "left_anti")
+    again = docs.join(repeated, F.col(key) == F.col("_repeated"), "left_semi")
+    sets = set_table(again, key, text, texts_too=True).filter("s is not null")
+    linked = sets.join(copies.select("key", "s").distinct(), ["key", "s"], "left_semi").select(F.col("key").alias("_key"), F.col("text").alias("_text")).distinct()
+    linked = materialize(linked, "ngram-linked")
+    once = again.join(linked, (F.col(key) == F.col("_key")) & (F.col(text) == F.col("_text")), "left_anti").dropDuplicates([key, text])
+    alone = docs.join(repeated, F.col(key) == F.col("_repeated"), "left_anti")
+    return alone.join(dropped, F.col(key) == F.col("_dropped"), "left_anti").unionByName(once)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -87,6 +87,13 @@ def test_ngram_join_takes_odd_rows(spark, tmp_path):
     assert ngram_join.query(spark, empty(spark, tmp_path / "none")).count() == 0
 
 
+def test_rows_that_repeat_a_key_go_by_their_own_text(spark):
+    one, two, three = ("the quick brown fox jumps over it", "some other words that nothing else has in it", "a third text of seven words here")
+    rows = [(2, one), (5, one.upper()), (5, two), (5, two), (5, None), (6, three), (6, one), (7, three), (8, "plain words")]
+    kept = ngram_join.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text or "") for r in kept) == [(2, one), (5, ""), (5, two), (6, three), (8, "plain words")]
+
+
 def test_shingle_sets_are_those_of_words():
     texts = ["A b c d e f", "a  B\tc d e f\n", "a b c d", "a b c d ", "", None, "é ü ß x y z é ü ß x y z"]
     s = shingles.shingle_sets(texts)
