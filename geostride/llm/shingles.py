@@ -7,8 +7,10 @@ from functools import lru_cache
 import numpy as np
 
 WORDS = 5
-#: Lower-cases A-Z; the separators 0x20 and 0x09-0x0D become 0.
-FOLD = np.array([0 if b == 32 or 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+#: Lower-cases A-Z.
+FOLD = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+#: The separators 0x20 and 0x09-0x0D.
+APART = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 _ODD = 0x9E3779B97F4A7C15 | 1
 _BASE = 0xD1B54A32D192ED03
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -40,7 +42,7 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     flat = FOLD[np.frombuffer(b" ".join([*raw, b""]), np.uint8)]
     ends_of = np.cumsum([len(r) + 1 for r in raw])
-    inside = np.concatenate([[False], flat != 0, [False]])
+    inside = np.concatenate([[False], ~APART[flat], [False]])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edges[::2], edges[1::2]
     size = 1 << max(16, int(len(flat)).bit_length())

@@ -101,6 +101,12 @@ def test_shingle_sets_are_those_of_words():
     assert (s[0] == s[1]).all() and (s[2] == s[3]).all() and all((np.diff(x.astype(object)) > 0).all() for x in s)
 
 
+def test_nul_is_part_of_a_word(spark):
+    texts = dict(enumerate(["a\0b c d e f g", "a b c d e f g", "a\0 b c d e f", "\0", "\0 \0", "a c d e f\0", "a c d e f", "a\x01b c d e f g"]))
+    assert [len(s) for s in shingles.shingle_sets(list(texts.values()))] == [2, 3, 2, 1, 1, 1, 1, 2]
+    assert run_join(spark, texts) == plain_components(texts)
+
+
 def test_signature_tree_equals_pairs():
     r = np.random.default_rng(4)
     sets = []
