@@ -2,8 +2,8 @@
 numpy, with calibrated rejection.
 
 A text's subwords are the byte 3-grams and 4-grams of its lower-cased letters (other ASCII signs count as one space),
-hashed into BUCKETS; its embedding is their average over the whole text. Training sees at most PER_LANGUAGE texts of each
-language, chosen by a hash of doc_id among the rows that may be learned from; a fifth of them sets the temperature of the
+hashed into BUCKETS; its embedding is their average over the whole text. Training sees every language, at most
+PER_LANGUAGE texts of each (fewer where that makes more than SAMPLE), chosen by a hash of doc_id among the rows that may be learned from; a fifth of them sets the temperature of the
 scores and the score under which a prediction is rejected (the REJECT share of right predictions lies under it, and it is
 never over MOST_REJECT).
 
@@ -27,8 +27,8 @@ from geostride.llm.tokens import slices
 from geostride.session import ship, table
 
 BUCKETS, DIM = 1 << 15, 16
-#: Bounds of the training sample: texts of a language, and languages (the most frequent ones).
-PER_LANGUAGE, LANGUAGES = 800, 200
+#: Bounds of the training sample: texts of a language, and of all. Every language has one text at least.
+PER_LANGUAGE, SAMPLE = 800, 160_000
 EPOCHS, RATE = 4, 2.0
 REJECT, MOST_REJECT = 0.001, 0.4
 UNKNOWN = "und"
@@ -96,6 +96,8 @@ def train(texts: list[str], names: list[str], seed: int = 11) -> Model:
         grams, n = np.unique(np.concatenate(subwords(flat_bytes([t])[0])), return_counts=True)
         bags.append((grams, (n / n.sum()).astype(np.float32)))
     held = np.arange(len(texts)) % 5 == 4
+    # a language with all its texts held would not be learned
+    held &= np.isin(y, y[~held])
     rng = np.random.default_rng(seed)
     embedding = (rng.standard_normal((BUCKETS, DIM)) / np.sqrt(DIM)).astype(np.float32)
     weights = np.zeros((DIM, len(languages)), np.float32)
@@ -135,13 +137,14 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     """Learn from the rows with a language that are not held out."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("key").isNotNull() & ~held_out(F.col("key")))
     # one row a language
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()}
     if not counts:
         return train([], [])
+    most = min(PER_LANGUAGE, max(1, SAMPLE // len(counts)))
     order = F.pmod(F.xxhash64(F.lit("langid"), "key"), F.lit(1 << 40)) / (1 << 40)
-    share = F.create_map(*(F.lit(x) for lang_, n in counts.items() for x in (lang_, min(1.0, 1.3 * PER_LANGUAGE / n + 20 / n))))
+    share = F.create_map(*(F.lit(x) for lang_, n in counts.items() for x in (lang_, min(1.0, 1.3 * most / n + 20 / n))))
     sample = rows.withColumn("order", order).filter(F.col("order") < F.element_at(share, F.col("lang"))).toPandas()
-    sample = sample.sort_values(["order", "key", "text"], kind="stable").groupby("lang", sort=False).head(PER_LANGUAGE)
+    sample = sample.sort_values(["order", "key", "text"], kind="stable").groupby("lang", sort=False).head(most)
     return train(sample["text"].tolist(), sample["lang"].tolist())
 
 

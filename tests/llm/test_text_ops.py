@@ -267,6 +267,16 @@ def test_language_id(spark, tmp_path):
     assert langid.query(spark, empty(spark, tmp_path / "none")).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    names = [f"x{k:03d}" for k in range(230)]
+    rows = [(k, "".join(chr(97 + int(c)) for c in n[1:]) + " word", n) for k, n in enumerate(n for n in names for _ in range(4))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learnable = {r.lang for r in docs.filter(~langid.held_out(docs.doc_id)).select("lang").distinct().collect()}
+    assert len(learnable) > 200 and langid.fit(docs).languages == sorted(learnable)
+    model = langid.train(["the of and", "le la les", "der die das", "el los las", "zzz xxx qqq"], ["en", "fr", "de", "es", "zz"])
+    assert model.predict(["zzz xxx qqq"])[0] == ["zz"]
+
+
 def test_marginals_equal_plain_forward_backward():
     r = np.random.default_rng(0)
     lengths = np.array([0, 1, 5, 64, 65, 200, 0, 3])
