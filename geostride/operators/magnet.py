@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from geostride.functions.nmea import course_usable
 from geostride.operators.gnss import as_of
+from geostride.session import ship
 
 TERMS = ("xx", "yy", "zz", "x", "y", "z")
 KEEP, STRIDE, LEAST_POINTS = 128, 4, 32
@@ -87,6 +88,7 @@ def fit_ellipsoid(a: np.ndarray, b: np.ndarray, points: np.ndarray) -> tuple:
 
 def fits(samples: DataFrame, key: str = "device", order: str = "seq", sums: DataFrame | None = None) -> DataFrame:
     """A fit for each key. A group that reaches Python is one row of sums with at most KEEP points."""
+    ship(samples.sparkSession)
     sums = normal_equations(samples, key) if sums is None else sums
     points = kept_points(samples, key, order).groupBy(key).agg(F.collect_list(F.struct("x", "y", "z")).alias("points"))
     schema = f"{key} {samples.schema[key].dataType.simpleString()}, {FIT}"

@@ -53,8 +53,10 @@ def set_target(points: DataFrame, idx: int) -> DataFrame:
 
 
 def target_range(fixes: DataFrame, target: DataFrame) -> DataFrame:
-    """Fixes with metres, bearing and text to the target (a table of one row at most, so a broadcast of one row)."""
-    t = F.broadcast(target.limit(1).select(F.col("lat").alias("_tlat"), F.col("lon").alias("_tlon")))
+    """Fixes with metres, bearing and text to the target (a table of one row at most, so a broadcast of one row). target:
+    lat, lon, and name where it has one."""
+    named = F.col("name") if "name" in target.columns else F.lit(None).cast("string")
+    t = F.broadcast(target.limit(1).select(F.col("lat").alias("_tlat"), F.col("lon").alias("_tlon"), named.alias("_tname")))
     rows = fixes.filter(coarse(F.col("status"))).join(t, F.lit(True))
     rows = rows.withColumn("metres", haversine_m(F.col("lat"), F.col("lon"), F.col("_tlat"), F.col("_tlon"))).withColumn("bearing", bearing_deg(F.col("lat"), F.col("lon"), F.col("_tlat"), F.col("_tlon")))
-    return rows.withColumn("text", target_text(F.col("metres"), F.col("bearing"))).drop("_tlat", "_tlon")
+    return rows.withColumn("text", target_text(F.col("metres"), F.col("bearing"), F.col("_tname") if "name" in target.columns else None)).drop("_tlat", "_tlon", "_tname")

@@ -12,9 +12,11 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from geostride.session import ship
 from geostride.sources.bytes import FormatError, inflate, varint
 
 PART = (
@@ -183,6 +185,7 @@ _TYPES = (
 
 def decode_tiles(tiles: DataFrame, payload: str = "payload", layers: list[str] | None = None, compressed: bool = True, keys: tuple[str, str] = ("kind", "name")) -> DataFrame:
     """The other columns of tiles with each part of each feature."""
+    ship(tiles.sparkSession)
     kept = [f for f in tiles.schema.fields if f.name != payload]
     wanted = None if layers is None else frozenset(layers)
 
@@ -217,6 +220,59 @@ class DecodeMvt:
             yield (None,) * (len(NAMES) - 1) + (str(e),)
 
 
+UBX = "frame_class int, frame_id int, payload binary, checksum_ok boolean"
+
+
+@udtf(returnType=UBX)
+class SplitUbx:
+    """SQL: SELECT ... FROM streams, LATERAL split_ubx(content)."""
+
+    def eval(self, content: bytes):
+        yield from split_ubx(content or b"")
+
+
+def register(spark: SparkSession) -> None:
+    """Make the table functions decode_mvt and split_ubx known to a session, and send the package to its executors."""
+    ship(spark)
+    spark.udtf.register("decode_mvt", DecodeMvt)
+    spark.udtf.register("split_ubx", SplitUbx)
+
+
+def ubx_frames(streams: DataFrame, content: str = "content") -> DataFrame:
+    """The other columns of streams with each binary frame in their bytes."""
+    ship(streams.sparkSession)
+    kept = [f for f in streams.schema.fields if f.name != content]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                frames = list(split_ubx(batch.column(0)[row].as_py() or b""))
+                if frames:
+                    columns = [pa.array(c, t) for c, t in zip(zip(*frames, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.bool_()), strict=True)]
+                    again = [batch.column(i + 1).slice(row, 1).take(pa.array([0] * len(frames))) for i in range(len(kept))]
+                    yield pa.record_batch([*again, *columns], [*(f.name for f in kept), *(f.split()[0] for f in UBX.split(", "))])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), UBX])
+    return streams.select(content, *(f.name for f in kept)).mapInArrow(run, schema)
+
+
+def decoder_stats(parts: DataFrame) -> DataFrame:
+    """One row: what a decode met. layers, features, parts, points, most points of a part, damaged tiles. parts: of
+    decode_tiles, with the tile's z, x, y."""
+    n = F.size("pts")
+    tile = ("z", "x", "y")
+    whole = F.col("error").isNull()
+    return parts.agg(
+        F.count_distinct(F.when(whole, F.struct(*tile, "layer_index"))).alias("layers"), F.count_distinct(F.when(whole, F.struct(*tile, "layer_index", "feature_index"))).alias("features"),
+        F.count(F.when(whole, 1)).alias("parts"), F.coalesce(F.sum(F.when(whole, n)), F.lit(0)).cast("long").alias("points"), F.coalesce(F.max(F.when(whole, n)), F.lit(0)).alias("most_points"), F.count(F.when(~whole, 1)).alias("damaged"),
+    )
+
+
+def quarantine(parts: DataFrame) -> DataFrame:
+    """(z, x, y, error): each tile that failed to decode, once."""
+    return parts.filter("error is not null").groupBy("z", "x", "y").agg(F.min("error").alias("error"))
+
+
 def split_ubx(stream: bytes, most: int = 504) -> Iterator[tuple[int, int, bytes, bool]]:
     """(class, id, payload, checksum right) of the binary frames in a receiver's stream; oversized ones are dropped."""
     at = 0

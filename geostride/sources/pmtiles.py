@@ -1,11 +1,14 @@
 """Tile archives (PMTiles version 3) as a batch data source.
 
-    spark.dataSource.register(PmtilesSource)
+    register(spark)
     spark.read.format("pmtiles").option("what", "entries").load("/maps/*.pmtiles")
 
 what: header (a row an archive, with its error if it can't be read), entries (a row a directory entry, offsets resolved,
-leaves flattened), or blobs (a row a distinct stored blob, the bytes as they are stored). Directories are read once;
-leaves and blobs are dealt over partitions. Options: minzoom and maxzoom (entries and blobs), partitions, verify.
+leaves flattened), or blobs (a row a distinct stored blob, the bytes as they are stored). The driver opens no archive: the
+tasks of one share its root entries by turns, and its blobs by stretches of the data, for which each of them walks the
+directories. For large archives read the entries and hand them to `read_blobs`, which walks none again. An archive that
+can't be read fails the read of its entries and blobs unless skip_damaged is true. Options: minzoom and maxzoom (entries and blobs), partitions (tasks of an
+archive), verify, skip_damaged.
 """
 
 from __future__ import annotations
@@ -14,8 +17,11 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from geostride.session import ship
 from geostride.sources.bytes import FormatError, RangeFile, expand, inflate, varint
 
 HEADER_LEN = 127
@@ -116,8 +122,8 @@ class Archive:
 @dataclass
 class Part(InputPartition):
     path: str
-    leaf: int
-    roots: list[tuple[int, int, int, int]]
+    turn: int
+    turns: int
 
 
 class PmtilesReader(DataSourceReader):
@@ -125,23 +131,15 @@ class PmtilesReader(DataSourceReader):
         self.what = options.get("what", "entries")
         self.paths = expand(options["path"])
         self.verify = options.get("verify", "true").lower() == "true"
-        self.most = int(options.get("partitions", 64))
+        self.skip = options.get("skip_damaged", "false").lower() == "true"
+        self.most = max(1, int(options.get("partitions", 64)))
         low, high = int(options.get("minzoom", 0)), int(options.get("maxzoom", 30))
         below = lambda z: (4**z - 1) // 3
         self.first, self.end = below(low), below(high + 1)
 
     def partitions(self) -> list[Part]:
-        if self.what == "header":
-            return [Part(p, 0, []) for p in self.paths]
-        parts = []
-        for path in self.paths:
-            root = Archive(path, self.verify).root()
-            # an entry covers ids up to the next one's: those outside the zooms are left out before any leaf is read
-            ends = [e.tile_id for e in root[1:]] + [1 << 63]
-            wanted = [e for e, stop in zip(root, ends, strict=True) if e.tile_id < self.end and stop > self.first]
-            size = max(1, -(-len(wanted) // max(1, self.most)))
-            parts += [Part(path, k, [(e.tile_id, e.run, e.length, e.offset) for e in wanted[k : k + size]]) for k in range(0, len(wanted), size)]
-        return parts
+        turns = 1 if self.what == "header" else self.most
+        return [Part(p, k, turns) for p in self.paths for k in range(turns)]
 
     def read(self, part: Part) -> Iterator[tuple]:
         if self.what == "header":
@@ -151,16 +149,28 @@ class PmtilesReader(DataSourceReader):
             except (FormatError, OSError) as e:
                 yield (part.path, *([None] * (len(_NAMES) - 2)), str(e))
             return
+        try:
+            yield from self._rows(part)
+        except (FormatError, OSError):
+            if not self.skip:
+                raise
+
+    def _rows(self, part: Part) -> Iterator[tuple]:
         archive = Archive(part.path, self.verify)
-        seen: set[tuple[int, int]] = set()
-        for ord_, e in enumerate(archive.flat([Entry(*r) for r in part.roots])):
-            if e.tile_id >= self.end or e.tile_id + e.run <= self.first:
-                continue
-            if self.what == "entries":
-                yield (part.path, part.leaf, ord_, e.tile_id, e.run, e.length, e.offset)
-            elif (e.offset, e.length) not in seen:  # tiles that share a blob share its one read
-                seen.add((e.offset, e.length))
-                yield (part.path, e.offset, e.length, archive.file.read(archive.head["data_off"] + e.offset, e.length))
+        root = archive.root()
+        # an entry covers ids up to the next one's: those outside the zooms are left out before any leaf is read
+        ends = [e.tile_id for e in root[1:]] + [1 << 63]
+        wanted = [e for e, stop in zip(root, ends, strict=True) if e.tile_id < self.end and stop > self.first]
+        inside = lambda e: e.tile_id < self.end and e.tile_id + e.run > self.first
+        if self.what == "entries":
+            size = -(-len(wanted) // part.turns)
+            own = wanted[part.turn * size : (part.turn + 1) * size]
+            yield from ((part.path, part.turn * size, k, e.tile_id, e.run, e.length, e.offset) for k, e in enumerate(archive.flat(own)) if inside(e))
+            return
+        stretch = -(-archive.head["data_len"] // part.turns) or 1
+        blobs = {(e.offset, e.length) for e in archive.flat(wanted) if inside(e) and min(e.offset // stretch, part.turns - 1) == part.turn}
+        for offset, length in sorted(blobs):
+            yield (part.path, offset, length, archive.file.read(archive.head["data_off"] + offset, length))
 
 
 class PmtilesSource(DataSource):
@@ -173,3 +183,35 @@ class PmtilesSource(DataSource):
 
     def reader(self, schema) -> PmtilesReader:
         return PmtilesReader(self.options)
+
+
+def register(spark: SparkSession) -> None:
+    """Make the format known to a session, and send the package to its executors."""
+    ship(spark)
+    spark.dataSource.register(PmtilesSource)
+
+
+def read_blobs(entries: DataFrame) -> DataFrame:
+    """(path, offset, length, payload) of entries (path, offset, length): each stored blob is read once, however many
+    entries and tasks name it. Blobs are dealt by path and neighbourhood, so a task opens an archive once and reads
+    forward in it."""
+    spark = entries.sparkSession
+    ship(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        archive = None
+        for batch in batches:
+            rows = batch.to_pylist()
+            for k in range(0, len(rows), 64):
+                payloads = []
+                for r in rows[k : k + 64]:
+                    if archive is None or archive.path != r["path"]:
+                        archive = Archive(r["path"])
+                    payloads.append(archive.file.read(archive.head["data_off"] + r["offset"], r["length"]))
+                part = batch.slice(k, 64)
+                yield pa.record_batch([*part.columns, pa.array(payloads, pa.binary())], ["path", "offset", "length", "payload"])
+
+    distinct = entries.select("path", "offset", "length").distinct()
+    # a stretch of 16 MB of an archive is one task's
+    dealt = distinct.selectExpr("*", f"offset div {16 << 20} as _stretch").repartition("path", "_stretch").sortWithinPartitions("path", "offset").drop("_stretch")
+    return dealt.mapInArrow(run, BLOBS)

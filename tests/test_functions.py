@@ -86,7 +86,7 @@ def test_compass_points_and_texts(spark):
     assert column(spark, deg, "d double", geo.compass16(F.col("d"))) == ["N", "N", "NNE", "NNW", "N", "S", "N"]
     assert column(spark, [(-1.0,), (45.0,)], "d double", geo.heading_label(F.col("d"))) == ["--", "NE"]
     text = [(29.99, 0.0), (30.0, 90.0), (999.99, 90.0), (1000.0, 225.0), (12345.0, 0.0)]
-    assert column(spark, text, "m double, b double", geo.target_text(F.col("m"), F.col("b"))) == ["here", "30 m E", "999 m E", "1.0 km SW", "12.3 km N"]
+    assert column(spark, text, "m double, b double", geo.target_text(F.col("m"), F.col("b"))) == ["here (29m)", "30 m E", "999 m E", "1.0 km SW", "12.3 km N"]
 
 
 def test_sentence_fields(spark):

@@ -61,7 +61,7 @@ def test_archive_by_hand(tmp_path):
 
 @pytest.mark.parametrize(("leaf", "codec"), [(None, 1), (None, 2), (7, 2), (1, 1)])
 def test_archive_round_trip(spark, tmp_path, leaf, codec):
-    spark.dataSource.register(pmtiles.PmtilesSource)
+    pmtiles.register(spark)
     tiles = {(k * 5, 1 + k % 4): gzip.compress(f"tile {k % 11}".encode(), mtime=0) for k in range(60)}
     fx.archive(tmp_path / "m.pmtiles", tiles, leaf, codec)
     read = lambda **o: spark.read.format("pmtiles").options(path=f"{tmp_path}/*.pmtiles", partitions="3", **o).load()
@@ -69,7 +69,10 @@ def test_archive_round_trip(spark, tmp_path, leaf, codec):
     assert len(head) == 1 and head[0].error is None and head[0].n_entries == 60 and head[0].max_zoom == 14
     entries = read(what="entries")
     assert sorted((e.tile_id, e.run_length) for e in entries.collect()) == sorted(tiles)
-    blobs = {(b.offset, b.length): bytes(b.payload) for b in read(what="blobs").collect()}
+    stored = read(what="blobs").collect()
+    blobs = {(b.offset, b.length): bytes(b.payload) for b in stored}
+    assert len(stored) == len(blobs) == 11
+    assert sorted(map(tuple, pmtiles.read_blobs(entries).collect())) == sorted(map(tuple, stored))
     asked = spark.range(310).select(F.col("id").alias("tile_id"))
     found = {r.tile_id: blobs[(r.offset, r.length)] for r in A.locate_entries(asked, entries, bucket=8).collect()}
     want = {t: v for (first, run), v in tiles.items() for t in range(first, first + run)}
@@ -86,7 +89,7 @@ def test_runs_over_many_buckets(spark):
 
 
 def test_damaged_archives(spark, tmp_path):
-    spark.dataSource.register(pmtiles.PmtilesSource)
+    pmtiles.register(spark)
     fx.archive(tmp_path / "v2.pmtiles", {(0, 1): b"x"}, version=2)
     fx.archive(tmp_path / "good.pmtiles", {(0, 1): b"x"})
     whole = (tmp_path / "good.pmtiles").read_bytes()
@@ -96,6 +99,8 @@ def test_damaged_archives(spark, tmp_path):
     (tmp_path / "rootless.pmtiles").write_bytes(whole[:16] + bytes(8) + whole[24:])
     errors = {r.path.rpartition("/")[2]: r.error for r in spark.read.format("pmtiles").options(path=f"{tmp_path}/*.pmtiles", what="header").load().collect()}
     assert errors.pop("good.pmtiles") is None and len(errors) == 5 and all(errors.values())
+    entries = spark.read.format("pmtiles").options(path=f"{tmp_path}/*.pmtiles", what="entries", skip_damaged="true").load().collect()
+    assert [(e.path.rpartition("/")[2], e.tile_id) for e in entries] == [("good.pmtiles", 0)]
     with pytest.raises(B.FormatError):
         pmtiles.parse_directory(b"\xff\xff\xff\x7f\x01")
     with pytest.raises(B.FormatError):
@@ -124,7 +129,7 @@ def test_tile_round_trip(spark):
     assert len(got) == 8 and [r.error for r in got if r.y > 2] == ["no gzip frame"] * 2
     only = mvt.decode_tiles(df.filter("y = 2"), layers=["places"]).collect()
     assert [(r.layer, r.name, len(r.pts)) for r in only] == [("places", "Town", 2)]
-    spark.udtf.register("decode_mvt", mvt.DecodeMvt)
+    mvt.register(spark)
     df.filter("y = 2").createOrReplaceTempView("tiles_of_test")
     assert spark.sql("select count(*) from tiles_of_test, lateral decode_mvt(payload)").first()[0] == 6
 
