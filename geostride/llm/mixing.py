@@ -8,7 +8,7 @@ the hash first and then the one slice in which the cut lies, so no task ever ord
 
 Defined cases: null text has size 0; a null source is a source of its own, ordered last; null keys hash as the empty
 string with a marker; rows that repeat a key share its hash and are taken or left together; empty tables give empty
-results; other columns of any name pass through (the operator's own columns replace columns of the same name).
+results; `mix` ignores extra columns, `mixed_documents` passes columns of any name through as they are.
 """
 
 from __future__ import annotations
@@ -83,27 +83,29 @@ def mixing_plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     return sized, materialize(plan, "mix-plan")
 
 
-def _with_reps(rows: DataFrame, plan: DataFrame, hashed: Column) -> DataFrame:
+def _with_reps(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows: _source, _hash and others. Adds source_size and target of the source, and reps."""
     # the plan was written: its size is known, and Spark broadcasts it only below the session's threshold
-    p = plan.select(F.col("source").alias("_p_source"), F.col("source_size").alias("_p_size"), F.col("target").alias("_p_target"), "whole", "cut")
-    joined = rows.join(p, F.col("_m_source").eqNullSafe(F.col("_p_source")))
-    return joined.withColumn("_reps", F.col("whole") + (hashed <= F.col("cut")).cast("int"))
+    p = plan.select(F.col("source").alias("_p_source"), "source_size", "target", "whole", "cut")
+    joined = rows.join(p, F.col("_source").eqNullSafe(F.col("_p_source")))
+    return joined.withColumn("reps", F.col("whole") + (F.col("_hash") <= F.col("cut")).cast("int"))
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """One row per document: key, size, source_size, target, taken (words taken, repeats counted), reps."""
     sized, plan = mixing_plan(docs, key, text, source, **options)
-    rows = _with_reps(sized.withColumnRenamed("source", "_m_source"), plan, F.col("hash"))
-    return rows.select(F.col("key").alias(key), "size", F.col("_p_size").alias("source_size"), F.col("_p_target").alias("target"), (F.col("size") * F.col("_reps")).alias("taken"), F.col("_reps").alias("reps"))
+    rows = _with_reps(sized.withColumnsRenamed({"source": "_source", "hash": "_hash"}), plan)
+    return rows.select(F.col("key").alias(key), "size", "source_size", "target", (F.col("size") * F.col("reps")).alias("taken"), "reps")
 
 
 def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The mixed corpus itself: the documents' own columns, each row as often as it is repeated (not at all: dropped)."""
-    columns = docs.columns
     _, plan = mixing_plan(docs, key, text, source, **options)
-    keyed = docs.withColumn("_m_source", F.col(source)).withColumn("_m_hash", sample_hash(F.col(key), options.get("seed", SEED)))
-    rows = _with_reps(keyed, plan, F.col("_m_hash")).filter("_reps > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_reps")))).select(*columns)
+    # a row's own columns travel in a struct, so that their names meet none of this operator's
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    keyed = docs.select(own, F.col(source).alias("_source"), sample_hash(F.col(key), options.get("seed", SEED)).alias("_hash"))
+    rows = _with_reps(keyed, plan).filter("reps > 0")
+    return rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("reps")))).select("_row.*")
 
 
 #: The same result in DuckDB.
