@@ -9,8 +9,8 @@ such two. What remains is packed best-fit in decreasing order, class by class. P
 rank among the pieces of their length: ranks are counted in slices of a hash, so that a length that a third of all
 pieces share is spread over many tasks.
 
-Defined cases: null text is empty and packs as its end id alone; rows that repeat a doc_id are packed each; an empty
-table gives an empty result; extra columns are ignored.
+Defined cases: null text is empty and packs as its end id alone; rows that repeat a doc_id are packed each; null doc_ids
+are kept; an empty table gives an empty result; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -213,7 +213,8 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     histogram = {r["length"]: r["n"] for r in bases.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     places = plan(histogram, capacity)
     own = Window.partitionBy("length", "_slice").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = sliced.withColumn("_rank", F.row_number().over(own) - 1).join(bases.select("length", "_slice", "_base"), ["length", "_slice"])
+    # the rows are dealt and sorted by (length, slice) already, so a merge join moves only the bases
+    ranked = sliced.withColumn("_rank", F.row_number().over(own) - 1).join(bases.select("length", "_slice", "_base").hint("merge"), ["length", "_slice"])
     ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_base")).drop("_slice", "_base")
     columns = cut.columns
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema.fields) + ", sequence_id long, offset long"
