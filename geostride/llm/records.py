@@ -1,6 +1,6 @@
 """Token ids as length-delimited binary records.
 
-A file holds one record after another, in ascending doc_id order over the files by name. A record:
+A file holds one record after another, in ascending doc_id order over the files by number. A record:
 
     length   u64  bytes of the body
     masked   u32  checksum of those eight bytes
@@ -9,14 +9,16 @@ A file holds one record after another, in ascending doc_id order over the files
     end      one byte 0x0A
 
 All integers are little-endian. A masked checksum is the CRC-32 rotated right by 15 bits plus 0xA282EAD8, so that
-checksums of data that hold checksums stay apart. A separate index (Parquet: file, doc_id, offset, length, n_tokens)
-gives every record's place, for reads in any order.
+checksums of data that hold checksums stay apart. A separate index, written beside the files (Parquet: file, doc_id,
+offset, length, n_tokens, before, ids_crc32), gives every record's place, for reads in any order.
 
 Files are written by Spark's own writer, so they land in any store that Spark writes; they are read back with the
-binaryFile source. Rows are range-partitioned by doc_id before they are encoded, so each task writes one sorted file.
+binaryFile source, a file at a time. Rows are range-partitioned by doc_id before they are encoded, so each task writes one
+sorted file; there are as many as keep the text of a file at FILE_BYTES on average, so files grow in number, not in size.
+The index is made by reading the files back, with every checksum checked.
 
-Defined cases: null text is empty; null doc_ids come first; rows of one doc_id are ordered by text; empty tables write
-no record. Extra columns are ignored.
+Defined cases: null text is empty; null doc_ids come first; rows of one doc_id are ordered by text (a doc_id that very
+many rows share makes one large file); empty tables write no record. Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from geostride.llm.tokens import default_path, encoder, slices
 from geostride.session import fresh_path, materialize, ship, table
 
 END_ID = 2
+#: Bytes of text for a file, on average.
+FILE_BYTES = 128 << 20
 HEAD, BODY = struct.Struct("<QI"), struct.Struct("<BqB")
 RECORD = "file string, doc_id long, offset long, length long, n_tokens long, before long, ids_crc32 long"
 
@@ -73,7 +77,7 @@ def read_record(content: bytes, at: int) -> tuple[int | None, bytes, int]:
     return (None if null else doc_id), ids.astype("<u4").tobytes(), end
 
 
-def write_records(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, files: int | None = None) -> None:
+def write_records(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> None:
     """Encode docs (doc_id, text) and write the record files below path."""
     ship(docs.sparkSession)
     tokenizer = tokenizer or default_path()
@@ -87,7 +91,8 @@ def write_records(docs: DataFrame, path: str, tokenizer: str | None = None, end_
                 ids = encode(texts[a:b])
                 yield pa.record_batch([pa.array([frame(k, x + tail) for k, x in zip(keys[a:b], ids, strict=True)], pa.binary())], ["record"])
 
-    n = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // file_bytes))
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(n, F.col("doc_id").asc_nulls_first())
     records = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(released(framed), "record binary")
     # a cast to string keeps the bytes as they are, and the text writer writes them as they are
@@ -116,10 +121,12 @@ def index_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_starts(index: DataFrame) -> DataFrame:
-    """Adds start: the ids of all records before it, over all files in the order of their names."""
+    """Adds start: the ids of all records before it, over all files in the order of their numbers (as text, the name of
+    file 100000 would come before that of file 99999)."""
     totals = index.groupBy("file").agg(F.sum("n_tokens").alias("total"))
+    number = F.regexp_extract("file", r"^part-([0-9]+)", 1).cast("long")
     # one row a file
-    base = F.coalesce(F.sum("total").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = F.coalesce(F.sum("total").over(Window.orderBy(number).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = materialize(totals.select("file", base.alias("base")), "record-bases")
     return index.join(bases, "file").withColumn("start", F.col("base") + F.col("before"))
 
@@ -141,8 +148,17 @@ def read_at(spark: SparkSession, path: str, places: DataFrame) -> DataFrame:
     return files.join(wanted, "file").select("content", "offsets").mapInArrow(released(pick), "doc_id long, ids array<long>")
 
 
+def write_indexed(docs: DataFrame, path: str, **options) -> None:
+    """The record files below path/records and their index below path/index."""
+    write_records(docs, f"{path}/records", **options)
+    index_records(docs.sparkSession, f"{path}/records").write.parquet(f"{path}/index")
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(RECORD).parquet(f"{path}/index")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "records")
-    write_records(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    index = materialize(index_records(spark, path), "record-index")
-    return with_starts(index).select("doc_id", "start", "n_tokens", "ids_crc32")
+    write_indexed(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    return with_starts(read_index(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
