@@ -102,8 +102,9 @@ def fingerprint_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return both.select("a", "b", pruned_jaccard(F.col("sa"), F.col("sb"), least).alias("likeness")).filter(F.col("likeness") >= least)
 
 
-def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Adds next_text: the text of the next row in ascending key (then text) order, after the last that of the first.
+def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """Adds next_text: the text of the next row in ascending key (then text) order, after the last that of the first; and
+    next_<column> for the columns in `also`.
 
     The rows are cut into slices at quantiles of the key, several for each shuffle partition; each slice's first row is
     also sent to the end of the slice before it. So one exchange of the texts suffices and no task sees all rows."""
@@ -129,22 +130,24 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     # cluster's setting says. Only the rows with these keys are then read with their texts.
     first_keys = [r["k"] for r in rows.groupBy("_slice").agg(F.min(key).alias("k")).collect() if r["k"] is not None]
     leading = rows.filter(F.col(key).isin(*first_keys) | F.col(key).isNull()) if first_keys else rows
-    firsts = leading.groupBy("_slice").agg(F.min(F.struct(F.col(key).alias("k"), F.col(text).alias("t"))).alias("f"))
+    firsts = leading.groupBy("_slice").agg(F.min(F.struct(F.col(key).alias("k"), F.col(text).alias("t"), *(F.col(c).alias(c) for c in also))).alias("f"))
     by = Window.partitionBy(F.lit(0)).orderBy("_slice")
     before = F.coalesce(F.lag("_slice").over(by), F.max("_slice").over(Window.partitionBy(F.lit(0))))
-    ends = firsts.select(before.alias("_slice"), F.col("f.t").alias("_end_text"))
-    marked = rows.withColumn("_is_end", F.lit(False)).unionByName(ends.select("_slice", F.col("_end_text").alias(text), F.lit(True).alias("_is_end")), allowMissingColumns=True)
+    ends = firsts.select(before.alias("_slice"), F.col("f.t").alias(text), *(F.col(f"f.{c}").alias(c) for c in also), F.lit(True).alias("_is_end"))
+    marked = rows.withColumn("_is_end", F.lit(False)).unionByName(ends, allowMissingColumns=True)
     window = Window.partitionBy("_slice").orderBy("_is_end", *order)
-    return marked.withColumn("next_text", F.lead(text).over(window)).filter("not _is_end").drop("_slice", "_is_end")
+    led = {"next_text": F.lead(text).over(window)} | {f"next_{c}": F.lead(c).over(window) for c in also}
+    return marked.withColumns(led).filter("not _is_end").drop("_slice", "_is_end")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+    # a text's own set travels with it to the row before, which would otherwise work it out again
+    docs = docs.withColumn("sigs", signature_set(words_of(F.col("text")), F.col("text")))
+    rows = with_next(docs, also=("sigs",)).withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2)
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next_text", F.lit(1), half.cast("int"))))
-    for name, source in (("sigs", "text"), ("edited_sigs", "edited"), ("next_sigs", "next_text")):
-        rows = rows.withColumn(name, signature_set(words_of(F.col(source)), F.col(source)))
+    rows = rows.withColumn("edited_sigs", signature_set(words_of(F.col("edited")), F.col("edited")))
     return rows.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_hex(F.col("sigs")).alias("fingerprint"), as_hex(F.col("edited_sigs")).alias("edited_fingerprint"),
         pruned_jaccard(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), pruned_jaccard(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
