@@ -7,14 +7,18 @@ with the confidence of BOUND standard deviations. A pair whose upper bound lies
 other pair is computed again in double precision from the vectors, and only that decides a link. A pair that the bound
 wrongly rules out is a chance of about 1e-9.
 
-Equal vectors of a label are first folded into one with a count (a grouped count, combined before the exchange). The
-distinct vectors of a label are cut into blocks of about BLOCK along a projection, and blocks meet in pairs, unless their
-ranges are further apart than linked vectors can be; a task never holds more than two blocks, and a label with a third of
-all rows is only more blocks. A task returns counts of links and a spanning forest, never the links themselves.
+Which pairs are looked at: equal vectors of a label are first folded into one with a count (a grouped count, combined
+before the exchange). The distinct vectors of a label and length then meet in buckets: a band is some sign bits of random
+projections, and vectors with equal bits share a bucket. There are so many bands that a pair at the threshold shares none
+of them with a chance of at most MISS (closer pairs with less). Bits and bands are those that copy a vector least often:
+for few vectors no bits at all, which is every pair; more bits for more vectors, so that a bucket stays at about BLOCK
+vectors and copies grow much slower than the vectors. A bucket of more than BLOCK vectors is cut into chunks that meet in
+pairs, so a task never holds more than two. A pair that shares several bands counts in the first of them. A task returns
+counts of links and a spanning forest, never the links themselves.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components, and rows with a null label link with
 nothing (n_links 0, component the row's own id, kept); vectors of different lengths don't link; rows that repeat an id
-with the same vector count as copies of each other; extra columns are ignored.
+with the same vector count as copies of each other; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,18 +29,20 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geostride.llm.graph import UnionFind, components
-from geostride.session import materialize, ship, table
+from geostride.llm.memory import released
+from geostride.session import discard, materialize, ship, table
 
 LEAST = 0.98
 BLOCK = 1500
 BOUND = 6.0
 SEED = 3
-#: Vector lengths with a projection, the most frequent ones: the size of an expression. All blocks of other lengths meet.
-AXES = 64
+#: Chance that a pair at the threshold shares no band; bits of a band at most.
+MISS, MOST_BITS = 1e-12, 24
 
 
 @lru_cache(maxsize=8)
@@ -90,26 +96,92 @@ def linked_pairs(a: np.ndarray, b: np.ndarray | None, least: float) -> tuple[np.
     return np.concatenate(left), np.concatenate(right)
 
 
-def _block_pair(least: float):
+def bands_of(bits: int, least: float) -> int:
+    """Bands of so many bits after which a pair with cosine `least` has met with a chance of 1 - MISS. Two vectors differ
+    in the sign of a random projection with a chance of their angle over pi."""
+    agree = (1 - math.acos(least) / math.pi) ** bits
+    return 1 if agree >= 1 else math.ceil(math.log(MISS) / math.log1p(-agree))
+
+
+def banding(rows: Column, block: int, least: float) -> Column:
+    """struct(copies, bits, bands) for a group of so many vectors: of all choices of bits the one with the fewest copies
+    of a vector, each of its buckets being cut into chunks of `block`."""
+    choices = [F.struct((F.ceil(rows / (block * 2.0**bits)) * bands_of(bits, least)).alias("copies"), F.lit(bits).alias("bits"), F.lit(bands_of(bits, least)).alias("bands")) for bits in range(MOST_BITS + 1)]
+    return F.array_min(F.array(*choices))
+
+
+@lru_cache(maxsize=8)
+def _planes(d: int, count: int) -> np.ndarray:
+    return np.random.default_rng([SEED, d, 1]).standard_normal((count, d))
+
+
+def band_keys(u: np.ndarray, bits: int, bands: int) -> np.ndarray:
+    """Buckets of unit vectors: a row a vector, a column a band."""
+    if not bits:
+        return np.zeros((len(u), 1), "<u4")
+    above = (u @ _planes(u.shape[1], bits * bands).T > 0).reshape(len(u), bands, bits)
+    return (above @ (1 << np.arange(bits))).astype("<u4")
+
+
+def _alike(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places, unit vectors, bucket keys) of the rows of a batch that have a length and a banding in common."""
+    vectors = batch.column("embedding")
+    start = vectors.offsets.to_numpy()
+    values = np.asarray(vectors.values)
+    kinds = np.stack([np.diff(start), batch.column("bits").to_numpy(), batch.column("bands").to_numpy()], 1)
+    for d, bits, bands in np.unique(kinds, axis=0).tolist():
+        at = np.flatnonzero((kinds == (d, bits, bands)).all(1))
+        u = unit(values[start[at][:, None] + np.arange(d)])
+        yield at, u, band_keys(u, bits, bands)
+
+
+def _bucket_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        group = batch.column("g").to_numpy()
+        for at, _, keys in _alike(batch):
+            bands = keys.shape[1]
+            flat = np.stack([np.repeat(group[at], bands), np.tile(np.arange(bands), len(at)), keys.ravel().astype("i8")], 1)
+            kinds, n = np.unique(flat, axis=0, return_counts=True)
+            yield pa.record_batch([*(pa.array(kinds[:, k]) for k in range(3)), pa.array(n.astype("i8"))], ["g", "band", "key", "c"])
+
+
+def _dealt(width: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = batch.column("embedding")
+            start, values = vectors.offsets.to_numpy(), np.asarray(vectors.values)
+            for at, _, keys in _alike(batch):
+                bands = keys.shape[1]
+                rows = batch.take(pa.array(at))
+                raw = pa.array([values[start[k] : start[k + 1]].astype(width).tobytes() for k in at], pa.binary())
+                every = pa.array([k.tobytes() for k in keys], pa.binary())
+                for band in range(bands):
+                    yield pa.record_batch([rows.column("g"), pa.array(np.full(len(at), band)), pa.array(keys[:, band].astype("i8")), rows.column("rep"), rows.column("h"), rows.column("n"), raw, every], ["g", "band", "key", "rep", "h", "n", "v", "keys"])
+
+    return run
+
+
+def _chunk_pair(least: float, width: str):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["side", "rep", "h"], kind="stable").reset_index(drop=True)
-        u = unit(np.stack(frame["embedding"].to_numpy()))
-        n = frame["n"].to_numpy()
+        rep, h, n = frame["rep"].to_numpy(), frame["h"].to_numpy(), frame["n"].to_numpy()
+        keys = np.frombuffer(b"".join(frame["keys"]), "<u4").reshape(len(frame), -1)[:, : int(frame["band"].iloc[0])]
         split = int((frame["side"] == 0).sum())
-        if frame["bi"].iloc[0] == frame["bj"].iloc[0]:
-            i, j = linked_pairs(u, None, least)
-        elif 0 < split < len(u):
-            i, j = linked_pairs(u[:split], u[split:], least)
-            j = j + split
-        else:
-            i = j = np.zeros(0, int)
-        links = np.bincount(i, n[j], len(u)) + np.bincount(j, n[i], len(u))
-        forest = UnionFind(len(u))
+        within = frame["i"].iloc[0] == frame["j"].iloc[0]
+        i = j = np.zeros(0, int)
+        # where all share an earlier band, all their pairs count there
+        if (within or 0 < split < len(frame)) and not (keys == keys[:1]).all(0).any():
+            u = unit(np.frombuffer(b"".join(frame["v"]), width).reshape(len(frame), -1))
+            i, j = linked_pairs(u, None, least) if within else linked_pairs(u[:split], u[split:], least)
+            j = j if within else j + split
+            fresh = ~(keys[i] == keys[j]).any(1)
+            i, j = i[fresh], j[fresh]
+        links = np.bincount(i, n[j], len(frame)) + np.bincount(j, n[i], len(frame))
+        forest = UnionFind(len(frame))
         for x, y in zip(i.tolist(), j.tolist(), strict=True):
             forest.union(x, y)
         roots = forest.roots()
         hit = np.flatnonzero(links > 0)
-        rep, h = frame["rep"].to_numpy(), frame["h"].to_numpy()
         return pd.DataFrame({"rep": rep[hit], "h": h[hit], "links": links[hit].astype("i8"), "root_rep": rep[roots[hit]], "root_h": h[roots[hit]]})
 
     return run
@@ -118,63 +190,39 @@ def _block_pair(least: float):
 def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = LEAST, block: int = BLOCK) -> DataFrame:
     """(key, n_links, component_id, kept) for every row."""
     ship(rows.sparkSession)
+    width = "<f4" if rows.schema[vector].dataType.elementType.simpleString() == "float" else "<f8"
     sound = F.col("v").isNotNull() & (F.size("v") > 0) & F.col("label").isNotNull()
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     given = rows.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"), F.col(label).alias("label"))
-    usable = F.coalesce(sound & finite & F.exists("v", lambda x: x != 0), F.lit(False))
+    given = given.withColumn("usable", F.coalesce(sound & finite & F.exists("v", lambda x: x != 0), F.lit(False)))
     # -0.0 and 0.0 are one value
-    given = given.withColumn("usable", usable).withColumn("v", F.when(F.col("usable"), F.transform("v", lambda x: x + F.lit(0.0))))
-    given = given.withColumn("h", F.when(F.col("usable"), F.xxhash64("label", "v")))
-    distinct = given.filter("usable").groupBy("label", "h", "v").agg(F.count("*").alias("n"), F.min("key").alias("rep"))
-    # the projection: the first rotated coordinate of the unit vector, computed with SQL functions
-    lengths = given.filter("usable").groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"))
-    dims = [r["d"] for r in lengths.orderBy(F.desc("n"), "d").limit(AXES).collect()]
-    top = F.array_max(F.transform("v", F.abs))
-    scaled = F.transform("v", lambda x: x / top)
-    length = F.sqrt(F.aggregate("w", F.lit(0.0), lambda a, x: a + x * x))
-    axis = F.lit(None).cast("array<double>")
-    for d in dims:
-        axis = F.when(F.size("v") == d, F.array(*(F.lit(float(x)) for x in rotation(d)[0]))).otherwise(axis)
-    dot = F.aggregate(F.zip_with("w", axis, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    # a jitter by hash parts ties. It lies within reach of itself: vectors without an axis are cut by hash, and all their blocks meet
-    jitter = F.pmod("h", F.lit(1 << 20)) / (1 << 20) * 1e-6
-    distinct = distinct.withColumn("d", F.size("v")).withColumn("w", scaled).withColumn("p", F.coalesce(dot / length, F.lit(0.0)) + jitter).drop("w")
-    distinct = materialize(distinct.withColumnRenamed("v", "embedding"), "emb-distinct")
-    reach = math.sqrt(2 - 2 * least) + 3e-6
-    # bounds of each label's blocks: quantiles of the projection; one row for each block
-    sizes = distinct.groupBy("label", "d").agg(F.count("*").alias("rows"), F.percentile_approx("p", F.lit([k / 64 for k in range(1, 64)]), F.lit(2000)).alias("q"))
-    n_blocks = F.ceil(F.col("rows") / block)
-    cut = F.transform(F.filter(F.sequence(F.lit(1), n_blocks), lambda k: k < n_blocks), lambda k: F.get("q", F.least(F.lit(62), F.floor(k * 64 / n_blocks).cast("int") - 1)))
-    # labels with more than 64 blocks are cut further by hash inside a range
-    sizes = sizes.withColumn("cuts", F.when(n_blocks <= 64, F.array_distinct(cut)).otherwise(F.array_distinct("q"))).withColumn("parts", F.greatest(F.lit(1), F.ceil(n_blocks / 64)).cast("int"))
-    sizes = materialize(sizes.select("label", "d", "cuts", "parts"), "emb-blocks")
-    placed = distinct.join(sizes, ["label", "d"])
-    placed = placed.withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("p")))).withColumn("part", F.pmod(F.shiftright("h", 20), "parts").cast("int"))
-    placed = placed.withColumn("b", F.col("range") * F.col("parts") + F.col("part"))
-    # a block meets itself and those later ones whose range begins within reach of its end
-    last = F.size("cuts")
-    low = F.when(F.col("range") > 0, F.get("cuts", F.col("range") - 1)).otherwise(-2.0)
-    high = F.when(F.col("range") < last, F.get("cuts", F.col("range"))).otherwise(2.0)
-    ranges = F.sequence(F.lit(0), last)
-    later = F.filter(ranges, lambda r: (r >= F.col("range")) & (F.when(r > 0, F.get("cuts", r - 1)).otherwise(-2.0) <= high + reach))
-    earlier = F.filter(ranges, lambda r: (r <= F.col("range")) & (F.when(r < last, F.get("cuts", r)).otherwise(2.0) + reach >= low))
-    blocks = lambda rs: F.flatten(F.transform(rs, lambda r: F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: r * F.col("parts") + k)))
-    first = F.transform(F.filter(blocks(later), lambda x: x >= F.col("b")), lambda x: F.struct(F.col("b").alias("bi"), x.alias("bj"), F.lit(0).alias("side")))
-    second = F.transform(F.filter(blocks(earlier), lambda x: x < F.col("b")), lambda x: F.struct(x.alias("bi"), F.col("b").alias("bj"), F.lit(1).alias("side")))
-    met = placed.withColumn("m", F.explode(F.concat(first, second))).select("label", "d", "m.*", "rep", "h", "n", "embedding")
-    found = met.groupBy("label", "d", "bi", "bj").applyInPandas(_block_pair(least), "rep long, h long, links long, root_rep long, root_h long")
+    usable = given.filter("usable").withColumn("v", F.transform("v", lambda x: x + F.lit(0.0))).withColumn("h", F.xxhash64("label", "v"))
+    distinct = usable.groupBy("label", "h", "v").agg(F.count("*").alias("n"), F.min("key").alias("rep"))
+    distinct = materialize(distinct.withColumn("d", F.size("v")).withColumnRenamed("v", "embedding"), "emb-distinct")
+    # one row a label and length
+    groups = distinct.groupBy("label", "d").agg(F.count("*").alias("rows")).withColumn("p", banding(F.col("rows"), block, least))
+    groups = materialize(groups.select("label", "d", "p.bits", "p.bands", F.monotonically_increasing_id().alias("g")), "emb-groups")
+    placed = distinct.join(groups, ["label", "d"]).select("g", "bits", "bands", "rep", "h", "n", "embedding")
+    sizes = placed.select("g", "bits", "bands", "embedding").mapInArrow(released(_bucket_sizes), "g long, band long, key long, c long")
+    large = materialize(sizes.groupBy("g", "band", "key").agg(F.sum("c").alias("c")).filter(F.col("c") > block).select("g", "band", "key", F.ceil(F.col("c") / block).cast("int").alias("of")), "emb-large")
+    dealt = placed.mapInArrow(released(_dealt(width)), "g long, band long, key long, rep long, h long, n long, v binary, keys binary")
+    dealt = dealt.join(large, ["g", "band", "key"], "left").withColumn("of", F.coalesce("of", F.lit(1)))
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64(F.lit("chunk"), "rep", "h"), "of").cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("of") - 1), lambda k: F.struct(F.least("chunk", k).alias("i"), F.greatest("chunk", k).alias("j"), (F.col("chunk") > k).cast("int").alias("side")))
+    met = dealt.withColumn("m", F.explode(pairs)).select("g", "band", "key", "m.*", "rep", "h", "n", "v", "keys")
+    found = met.groupBy("g", "band", "key", "i", "j").applyInPandas(_chunk_pair(least, width), "rep long, h long, links long, root_rep long, root_h long")
     found = materialize(found, "emb-found")
     node = lambda r, h: F.struct(F.col(r).alias("rep"), F.col(h).alias("h"))
     component = components(found.select(node("rep", "h").alias("a"), node("root_rep", "root_h").alias("b")))
     component = component.select(F.col("node.rep").alias("rep"), F.col("node.h").alias("h"), F.col("component.rep").alias("component"))
     degree = found.groupBy("rep", "h").agg(F.sum("links").alias("links"))
-    node_facts = distinct.select("rep", "h", "n").join(degree, ["rep", "h"], "left").join(component, ["rep", "h"], "left")
-    node_facts = materialize(node_facts.select(F.col("h").alias("node_h"), "rep", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("component")), "emb-nodes")
-    # rows of one vector share its facts
-    out = given.select("key", "h").join(node_facts, F.col("h") == F.col("node_h"), "left")
-    n_links = F.coalesce(F.col("links") + F.col("n") - 1, F.lit(0)).cast("long")
-    component_id = F.coalesce("component", "key").cast("long")
-    return out.select(F.col("key").alias(key), n_links.alias("n_links"), component_id.alias("component_id"), F.coalesce(F.col("key") == component_id, F.lit(True)).alias("kept"))
+    facts = distinct.select("rep", "h", "n").join(degree, ["rep", "h"], "left").join(component, ["rep", "h"], "left")
+    facts = materialize(facts.select(F.col("h").alias("node_h"), "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("component")), "emb-nodes")
+    discard(distinct, groups, large, found)
+    # rows of one vector share its facts; the others link with nothing
+    out = usable.select("key", "h").join(facts, F.col("h") == F.col("node_h")).select("key", (F.col("links") + F.col("n") - 1).cast("long").alias("n_links"), F.col("component").cast("long").alias("component_id"))
+    out = out.union(given.filter("not usable").select("key", F.lit(0).cast("long"), F.col("key").cast("long")))
+    return out.select(F.col("key").alias(key), "n_links", "component_id", F.coalesce(F.col("key") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

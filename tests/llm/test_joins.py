@@ -186,6 +186,31 @@ def test_embeddings_of_many_lengths_equal_every_pair(spark):
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == plain_links(rows)
 
 
+@pytest.mark.parametrize(("bits", "block"), [(3, 1500), (6, 1500), (6, 8)])
+def test_embeddings_in_bands_equal_every_pair(spark, monkeypatch, bits, block):
+    """Buckets of several bands, whole and cut into chunks, with extra columns whose names clash."""
+    fixed = F.struct(F.lit(1).alias("copies"), F.lit(bits).alias("bits"), F.lit(embeddings.bands_of(bits, 0.98)).alias("bands"))
+    monkeypatch.setattr(embeddings, "banding", lambda rows, block, least: fixed)
+    rows = near_rows(seed=bits, n=500)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").selectExpr("*", "1 as g", "'x' as key", "2 as h", "3 as n", "4 as band")
+    got = embeddings.near_duplicates(df, block=block).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == plain_links(rows)
+
+
+def test_bands_follow_the_number_of_vectors(spark):
+    got = spark.range(1).select(*(embeddings.banding(F.lit(n), 1500, 0.98).alias(f"n{n}") for n in (10, 20_000, 10**6, 10**9, 10**12))).first()
+    assert got["n10"].bits == got["n20000"].bits == 0 and got["n20000"].copies == 14
+    assert got["n1000000"].copies < 50 and got["n1000000000"].copies < 200 and got["n1000000000000"].bits == embeddings.MOST_BITS
+    # a pair at the threshold agrees in a sign with a chance of 1 - angle / pi
+    r = np.random.default_rng(3)
+    a = embeddings.unit(r.standard_normal((4000, 32)))
+    b = r.standard_normal((4000, 32))
+    b = embeddings.unit(b - (b * a).sum(1, keepdims=True) * a)
+    near = 0.98 * a + np.sqrt(1 - 0.98**2) * b
+    same = embeddings.band_keys(a, 4, 10) == embeddings.band_keys(near, 4, 10)
+    assert abs(same.mean() - (1 - np.arccos(0.98) / np.pi) ** 4) < 0.01
+
+
 def test_embeddings_of_nothing(spark, tmp_path):
     assert embeddings.query(spark, empty(spark, tmp_path, "embeddings", "vec_id long, embedding array<float>, label int")).count() == 0
 
