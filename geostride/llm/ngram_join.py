@@ -34,8 +34,9 @@ from geostride.llm.graph import components
 from geostride.llm.memory import released, released_group
 from geostride.llm.shingles import set_hash, shingle_sets
 from geostride.llm.signature_tree import Tree
+from geostride.llm.skew import join_facts
 from geostride.llm.tokens import slices
-from geostride.session import materialize, ship, table
+from geostride.session import discard, materialize, ship, table
 
 PERCENT = 80
 #: Sets and tokens of a chunk, and tokens of a bucket: what a task holds at once.
@@ -178,8 +179,8 @@ def token_sets(docs: DataFrame, chosen: DataFrame, key: str = "doc_id", text: st
 def rare_tokens(sets: DataFrame, percent: int) -> DataFrame:
     """(token, s): the rarest tokens of each set of which a linked set can't miss all, without those of no other set."""
     held = sets.select("s", "n", F.explode("tokens").alias("token"))
-    counts = held.groupBy("token").agg(F.count("*").alias("f")).filter("f > 1")
-    shared = held.join(counts, "token")
+    counts = materialize(held.groupBy("token").agg(F.count("*").alias("held")).filter("held > 1"), "ngram-counts")
+    shared = join_facts(held, counts.withColumn("f", F.col("held")), "token", "s")
     by_rarity = Window.partitionBy("s").orderBy("f", "token")
     ranked = shared.withColumn("rank", F.row_number().over(by_rarity)).withColumn("shared", F.count("*").over(Window.partitionBy("s")))
     most = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
@@ -225,29 +226,34 @@ def _run_trees(parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def link_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """sets: (s, n, tokens), written. (s, component) of the sets that link with another one."""
     rare = materialize(rare_tokens(sets, percent), "ngram-rare")
-    least = rare.groupBy("token").agg(F.min("s").alias("least"), F.max("s").alias("most")).filter("least < most")
-    stars = rare.join(least.select("token", "least"), "token").filter("s <> least").select(F.col("s").alias("a"), F.col("least").alias("b"))
+    least = rare.groupBy("token").agg(F.min("s").alias("least"), F.max("s").alias("most"), F.count("*").alias("held")).filter("least < most")
+    least = materialize(least.select("token", "least", "held"), "ngram-least")
+    stars = join_facts(rare, least, "token", "s").filter("s <> least").select(F.col("s").alias("a"), F.col("least").alias("b"))
     blocks = components(stars).withColumnsRenamed({"node": "s", "component": "block"})
     parts = materialize(_chunks(blocks.join(sets.select("s", "n"), "s")), "ngram-parts")
     edges = _run_trees(parts, sets, percent)
     large = parts.filter("of > 1")
     if large.isEmpty():
-        return components(edges).withColumnRenamed("node", "s")
+        found = components(edges)
+        discard(rare, least, parts, edges)
+        return found.withColumnRenamed("node", "s")
     # one set of each component of a chunk stands for it
     joined = large.select("s", "n", "block").join(edges.select(F.col("a").alias("s")), "s", "left_anti")
     edges = edges.union(_run_trees(materialize(_chunks(joined), "ngram-parts"), sets, percent))
     labels = components(edges).withColumnsRenamed({"node": "s", "component": "label"})
     labelled = materialize(large.select("s", "n", "block").join(labels, "s", "left").withColumn("label", F.coalesce("label", "s")), "ngram-labelled")
     met = rare.join(labelled.select("s", "label"), "s")
-    mixed = met.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("token")
-    open_ = met.join(mixed, "token").select("s").distinct()
+    mixed = met.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("held")).filter("x < y")
+    open_ = join_facts(met, materialize(mixed.select("token", "held"), "ngram-mixed"), "token", "s").select("s").distinct()
     rest = materialize(_chunks(labelled.join(open_, "s")), "ngram-open")
     if not rest.isEmpty():
         every = F.sequence(F.lit(0), F.col("of") - 1)
         pairs = F.transform(every, lambda k: F.struct(F.least("chunk", k).alias("i"), F.greatest("chunk", k).alias("j")))
         fed = rest.withColumn("p", F.explode(pairs)).join(sets.select("s", "tokens"), "s").select("block", "p.i", "p.j", "s", "label", "tokens")
         edges = edges.union(materialize(fed.groupBy("block", "i", "j").applyInPandas(released_group(_tree_task(percent, True)), "a long, b long"), "ngram-links"))
-    return components(edges).withColumnRenamed("node", "s")
+    found = components(edges)
+    discard(rare, least, parts, labelled, rest)
+    return found.withColumnRenamed("node", "s")
 
 
 def _set_components(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
@@ -255,7 +261,8 @@ def _set_components(docs: DataFrame, key: str, text: str, percent: int) -> DataF
     ship(docs.sparkSession)
     facts = materialize(set_table(docs, key, text), "ngram-sets")
     distinct = materialize(facts.filter("s is not null").groupBy("s").agg(F.first("n").alias("n"), F.min("key").alias("rep")), "ngram-distinct")
-    total = distinct.agg(F.sum("n").alias("t")).first()["t"] or 0
+    # of all rows, not of distinct sets: a task sends each of its sets once, but copies may lie in every task
+    total = facts.filter("s is not null").agg(F.sum("n").alias("t")).first()["t"] or 0
     buckets = max(LEAST_TASKS, total // BUCKET_TOKENS)
     shared = shared_counts(docs, int(buckets), text)
     may_link = F.col("shared") >= F.ceil(F.col("n") * percent / 100)
@@ -265,6 +272,7 @@ def _set_components(docs: DataFrame, key: str, text: str, percent: int) -> DataF
     reps = distinct.join(linked.withColumnRenamed("component", "c"), "s", "left").withColumn("c", F.coalesce("c", "s"))
     named = reps.groupBy("c").agg(F.min("rep").alias("component_id"))
     by_set = materialize(reps.join(named, "c").select(F.col("s").alias("set"), "component_id"), "ngram-components")
+    discard(distinct, chosen, sets)
     out = facts.filter("s is not null").join(by_set, F.col("s") == F.col("set")).select("key", "n", "s", "component_id")
     return out.union(facts.filter("s is null").select("key", "n", "s", F.col("key").alias("component_id")))
 

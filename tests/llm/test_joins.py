@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from geostride.llm import embeddings, graph, ngram_join, shingles, signature_tree
+from geostride.llm import embeddings, graph, ngram_join, shingles, signature_tree, skew
+from geostride.session import materialize
 
 from .cases import SCHEMA, empty, odd_documents, save
 
@@ -73,6 +74,22 @@ def test_ngram_join_in_small_chunks(spark, monkeypatch):
     assert run_join(spark, texts) == plain_components(texts)
 
 
+def test_ngram_join_with_hot_tokens(spark, monkeypatch):
+    """Tokens held by many sets are dealt over several tasks, with the same components."""
+    monkeypatch.setattr(skew, "LEAST_HOT", 2)
+    texts = families(seed=5, groups=4, copies=20)
+    assert run_join(spark, texts) == plain_components(texts)
+
+
+def test_hot_keys_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(skew, "LEAST_HOT", 10)
+    rows = spark.range(1000).selectExpr("id as s", "if(id % 3 = 0, 7, id) as token")
+    facts = materialize(rows.groupBy("token").agg(F.count("*").alias("held"), F.min("s").alias("least")), "t")
+    joined = skew.join_facts(rows, facts, "token", "s")
+    want = {(r.s, r.token, r.least) for r in rows.join(facts, "token").select("s", "token", "least").collect()}
+    assert {(r.s, r.token, r.least) for r in joined.collect()} == want and joined.columns == ["token", "s", "least"] and joined.count() == 1000
+
+
 def test_ngram_join_takes_odd_rows(spark, tmp_path):
     docs = odd_documents(spark)
     docs = docs.unionByName(docs.filter("doc_id in (3, 17)")).unionByName(docs.filter("doc_id = 5").withColumn("doc_id", F.lit(None).cast("long")))
