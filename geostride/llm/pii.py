@@ -7,18 +7,21 @@ match that holds its own check (digit counts, Luhn, octets) is always selected.
 
 The trees are fitted by gradient boosting in numpy on the driver, on TRAIN_ROWS labelled examples that this module
 generates from a seed (no table holds labels of this kind); they are then compiled to nested CASE expressions, so the
-data never leave the JVM.
+data never leave the JVM. The examples stand in contexts of words that are features and of words that are not, before and
+after the candidate, and in plain prose; README has the figures on contexts and forms that no example has.
 
 Spans are in code points, end exclusive. A match's place is found by adding up the lengths of the pieces between the
-matches. All repetition is possessive, so that no text, however long its runs of digits or dots, recurses or backtracks.
+matches, in two levels, so that a text with very many matches costs no square of them. All repetition is possessive, so
+that no text, however long its runs of digits or dots, recurses or backtracks.
 
-Defined cases: null text is empty; empty texts have no spans; repeated rows get equal results; columns of any other
-name pass through `with_spans` and `redact`.
+Defined cases: null text is empty; empty texts have no spans; repeated rows get equal results; columns of any name pass
+through `redact`, and through `with_spans` all but those it adds (base_spans, spans).
 """
 
 from __future__ import annotations
 
 import random
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -46,9 +49,17 @@ LOOSE = {
 NEEDS = {"email": "[A-Za-z0-9]@[A-Za-z0-9-]|[._%+-]@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": "[0-9](?:[ -]?[0-9]){13}", "phone": r"\+[0-9]"}
 OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.|$)){4}$"
 CONTEXT = 24
-CUES = ("call", "tel", "phone", "fax", "mobile", "mail", "contact", "card", "visa", "pay", "ip", "host", "address", "order", "isbn", "version", "ref", "id", "#", "$")
-FEATURES = ("kind", "length", "digits", "separators", "parens", "luhn", "distinct", "after_letter", *(f"cue_{c}" for c in CUES))
-TRAIN_ROWS, TREES, DEPTH, RATE = 4000, 24, 3, 0.3
+CUES = (
+    "call", "tel", "phone", "fax", "mobile", "dial", "mail", "contact", "write", "card", "visa", "pay", "ip", "host", "server", "address",
+    "order", "isbn", "version", "ref", "id", "invoice", "serial", "part", "item", "page", "no.", "#", "$",
+)
+#: What follows a number that counts or measures something, and one that has an extension.
+UNIT_AFTER, EXTENSION_AFTER = r"^ ?(?:%|usd|eur|kg|km|pcs|units?|pages?|items?)", r"^,? ?(?:ext|x ?[0-9])"
+DOMAIN_END = r"(?i)(?:com|org|net|edu|gov|info|io|eu|de|fr|es|uk|it|nl|ch|at)$"
+FEATURES = ("kind", "length", "digits", "separators", "parens", "luhn", "distinct", "domain_end", "after_letter", "unit_after", "extension_after", "letter_follows", *(f"cue_{c}" for c in CUES))
+TRAIN_ROWS, TREES, DEPTH, RATE = 4000, 32, 3, 0.3
+#: Matches that are put together at once.
+TOGETHER = 64
 PRECISION = 0.96
 
 
@@ -70,78 +81,112 @@ def _valid(kind: str, m: Column) -> Column:
     return n.between(10, 15) if kind == "phone" else F.when(n.between(14, 19), luhn(digits)).otherwise(False)
 
 
-def _spans(text: Column, kind: str, pattern: str, keep) -> Column:
-    """Array of (start, kind_no, end, text, before) of the pattern's matches that `keep` keeps, in order."""
+def _spans(text: Column, kind: str, pattern: str, keep, context: bool = False) -> Column:
+    """Array of (start, kind, end, text, before, after) of the pattern's matches that `keep` keeps, in order; the text
+    around a match only if asked for."""
     pieces = F.split(text, pattern, -1)
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    struct = "struct<start:int,kind:int,end:int,found:string,before:string>"
-    pairs = F.arrays_zip(matches.alias("m"), F.slice(pieces, 1, F.size(matches)).alias("p"))
+    struct = "struct<start:int,kind:int,end:int,found:string,before:string,after:string>"
+    empty = F.array().cast(f"array<{struct}>")
+    pairs = F.arrays_zip(matches.alias("m"), F.slice(pieces, 1, F.size(matches)).alias("p"), *([F.slice(pieces, 2, F.size(matches)).alias("q")] if context else []))
+    around = lambda x: (F.right(x["p"], F.lit(CONTEXT)), F.left(x["q"], F.lit(CONTEXT))) if context else (F.lit(""), F.lit(""))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["pos"] + F.char_length(x["p"])
         end = start + F.char_length(x["m"])
-        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), x["m"].alias("found"), F.right(x["p"], F.lit(CONTEXT)).alias("before"))
+        before, after = around(x)
+        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), x["m"].alias("found"), before.alias("before"), after.alias("after"))
         return F.struct(end.alias("pos"), F.when(keep(x["m"]), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{struct}>").alias("spans"))
-    found = F.aggregate(pairs, zero, step, lambda acc: acc["spans"])
+    def stretch(acc: Column, xs: Column) -> Column:
+        own = F.aggregate(xs, F.struct(acc["pos"].alias("pos"), empty.alias("spans")), step)
+        return F.transform(F.array(own), lambda o: F.struct(o["pos"].alias("pos"), F.when(F.size(o["spans"]) > 0, F.concat(acc["lists"], F.array(o["spans"]))).otherwise(acc["lists"]).alias("lists")))[0]
+
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(matches)), F.lit(TOGETHER))
+    stretches = F.transform(F.array(pairs), lambda all_: F.transform(starts, lambda k: F.slice(all_, k, F.lit(TOGETHER))))[0]
+    zero = F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<array<{struct}>>").alias("lists"))
+    found = F.aggregate(stretches, zero, stretch, lambda acc: F.flatten(acc["lists"]))
     possible = text.rlike(NEEDS[kind] if pattern == STRICT[kind] else pattern)
-    return F.when(possible, found).otherwise(F.array().cast(f"array<{struct}>"))
+    return F.when(possible, found).otherwise(empty)
 
 
 def _features(span: Column) -> dict[str, Column]:
     """Of a candidate: its format and its context."""
-    m, before = span["found"], F.lower(span["before"])
+    m, before, after = span["found"], F.lower(span["before"]), F.lower(span["after"])
     digits = F.regexp_replace(m, "[^0-9]", "")
     out = {
         "kind": span["kind"].cast("double"), "length": F.char_length(m).cast("double"), "digits": F.length(digits).cast("double"),
         "separators": F.length(F.regexp_replace(m, "[^ .:-]", "")).cast("double"), "parens": F.length(F.regexp_replace(m, r"[^()\[\]{}]", "")).cast("double"),
         "luhn": F.when(F.length(digits).between(13, 19), luhn(digits)).otherwise(False).cast("double"),
-        "distinct": F.size(F.array_distinct(F.split(digits, ""))).cast("double"), "after_letter": before.rlike("[a-z]$").cast("double"),
+        "distinct": F.size(F.array_distinct(F.split(digits, ""))).cast("double"), "domain_end": m.rlike(DOMAIN_END).cast("double"), "after_letter": before.rlike("[a-z]$").cast("double"),
+        "unit_after": after.rlike(UNIT_AFTER).cast("double"), "extension_after": after.rlike(EXTENSION_AFTER).cast("double"), "letter_follows": after.rlike("^[a-z]").cast("double"),
     }
     return out | {f"cue_{c}": F.contains(before, F.lit(c)).cast("double") for c in CUES}
 
 
-def _py_features(kind: int, m: str, before: str) -> list[float]:
-    """The same features of a training example."""
+def py_features(kind: int, m: str, before: str, after: str) -> list[float]:
+    """The same features of an example."""
     d = "".join(c for c in m if c in "0123456789")
     total = sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d)))
-    low = before.lower()
-    return [kind, len(m), len(d), sum(c in " .:-" for c in m), sum(c in "()[]{}" for c in m), float(13 <= len(d) <= 19 and total % 10 == 0), len(set(d)) or 1, float(low[-1:].isascii() and low[-1:].isalpha()), *(float(c in low) for c in CUES)]
+    low, follows = before.lower(), after.lower()
+    return [
+        kind, len(m), len(d), sum(c in " .:-" for c in m), sum(c in "()[]{}" for c in m), float(13 <= len(d) <= 19 and total % 10 == 0), len(set(d)) or 1, float(bool(re.search(DOMAIN_END, m))),
+        float(low[-1:].isascii() and low[-1:].isalpha()), float(bool(re.search(UNIT_AFTER, follows))), float(bool(re.search(EXTENSION_AFTER, follows))), float(bool(re.search("^[a-z]", follows))),
+        *(float(c in low) for c in CUES),
+    ]
 
 
-def labelled_examples(rows: int = TRAIN_ROWS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Seeded examples of loose candidates: personal ones (stated by their context and a sound form) and look-alikes."""
-    r = random.Random(seed)
+#: Words before personal candidates and look-alikes of the examples. Some are features and some are not.
+PERSONAL_WORDS = (
+    ("mail", "contact", "write to", "questions to", "ask", "from", "by", "reach"), ("ip", "host", "server", "login from", "seen at", "peer"),
+    ("card", "visa", "pay with", "charged to", "billed"), ("call", "tel", "phone", "fax", "mobile", "dial", "ring", "text", "reach us on", "office"),
+)
+OTHER_WORDS = ("order", "ref", "isbn", "version", "id", "invoice", "serial", "part", "item", "page", "no.", "#", "$", "lot", "batch", "ticket", "model", "score", "row")
+PROSE = ("the", "und", "le", "of", "and then", "que", "was seen", "in one", "ein", "de la", "it has", "for")
+
+
+def example_form(r: random.Random, kind: int, personal: bool) -> str:
+    """A candidate of the kind: a sound form, or a look-alike."""
     digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    if kind == 0:
+        if not personal:
+            return f"{r.choice(('see', 'f', 'row', 'item', 'g', 'up'))}{r.choice((' (at) ', '[at]', ' [at] ', '(at)'))}{r.choice(('x', 'n', 'point', 'page', 'idx'))}{digits(r.choice((0, 1, 2)))}.{r.choice(('left', 'right', 'py', 'max', 'size'))}"
+        name = "".join(r.choice("abcdefghijklmnoprstuvwz") for _ in range(r.randint(3, 9))) + r.choice(("", "", ".doe", digits(2), "_x"))
+        return f"{name}{r.choice(('[at]', ' [at] ', ' (at) ', '(at)', '{at}'))}{r.choice(('mail', 'example', 'post', 'my-web', 'inbox'))}{digits(r.choice((0, 0, 1)))}{r.choice(('.', '.', ' [dot] ', '(dot)'))}{r.choice(('com', 'org', 'de', 'net'))}"
+    if kind == 1:
+        return ":".join(f"{r.randrange(65536):x}" for _ in range(8)) if personal else ":".join(digits(2) for _ in range(r.choice((4, 5, 6))))
+    if kind == 2:
+        if not personal:
+            return r.choice(". -").join(digits(4) for _ in range(4))
+        body = r.choice("3456") + digits(14)
+        body += str(-sum(sum(divmod(int(c) * (2 - i % 2), 10)) for i, c in enumerate(reversed(body))) % 10)
+        return r.choice(".- ").join(body[k : k + 4] for k in (0, 4, 8, 12))
+    return r.choice(("({}) {}-{}", "{}-{}-{}", "{}.{}.{}") if personal else ("{}-{}-{}", "{}.{}.{}", "{} {} {}")).format(digits(3), digits(3), digits(4))
+
+
+def example_context(r: random.Random, personal: tuple[str, ...], other: tuple[str, ...], prose: tuple[str, ...], is_personal: bool) -> tuple[str, str]:
+    """(before, after): prose, then often a word that goes with the label, then what may stand between."""
+    words = [r.choice(prose) for _ in range(r.randint(0, 3))]
+    if r.random() < 0.8:
+        words.append(r.choice(personal if is_personal else other))
+    before = " ".join(words) + r.choice((" ", " ", ": ", " (" if is_personal else " =", " - "))
+    after = r.choice((" ", ". ", ", ", " " + r.choice(prose), ") "))
+    if r.random() < 0.15:
+        after = r.choice((" ext 12", " x4", ", or")) if is_personal else r.choice((" usd", " units", " pcs", " kg", "%", " pages"))
+    return before[-CONTEXT:], after[:CONTEXT]
+
+
+def labelled_examples(rows: int = TRAIN_ROWS, seed: int = 7, personal: tuple = PERSONAL_WORDS, other: tuple = OTHER_WORDS, prose: tuple = PROSE) -> tuple[np.ndarray, np.ndarray]:
+    """Seeded examples of loose candidates: personal ones (by their context and a sound form) and look-alikes. One in a
+    hundred has the wrong label."""
+    r = random.Random(seed)
     x, y = [], []
     for _ in range(rows):
-        kind, personal = r.choice((0, 1, 2, 3, 3)), r.random() < 0.5
-        filler = r.choice(("the ", "und ", "le ", "of ", "", "and the ", "que "))
-        if kind == 0:
-            m, cue = f"{r.choice(('ann', 'j.doe', 'info', 'bob', 'x9'))}{r.choice(('[at]', ' [at] ', ' (at) ', '(at)', '{at}'))}{r.choice(('mail', 'example', 'post', 'my-web'))}{digits(r.choice((0, 0, 1)))}{r.choice(('.', '.', ' [dot] ', '(dot)'))}{r.choice(('com', 'org', 'de'))}", ("mail ", "contact ", "address ", "")
-            if not personal:
-                m, cue = f"{r.choice(('see', 'f', 'row', 'item'))}{r.choice((' (at) ', '[at]', ' [at] '))}{r.choice(('x', 'n', 'point', 'page'))}{digits(r.choice((0, 1, 2)))}.{r.choice(('left', 'right', 'py'))}", ("version ", "id ", "", "", "ref ")
-        elif kind == 1:
-            m, cue = ":".join(f"{r.randrange(65536):x}" for _ in range(8)), ("ip ", "host ", "address ")
-            if not personal:
-                m, cue = ":".join(digits(2) for _ in range(r.choice((4, 5, 6)))), ("", "version ", "id ")
-        elif kind == 2:
-            body = r.choice("345") + digits(14)
-            total = sum(sum(divmod(int(c) * (2 - i % 2), 10)) for i, c in enumerate(reversed(body)))
-            body += str(-total % 10)
-            m, cue = r.choice(".- ").join(body[k : k + 4] for k in (0, 4, 8, 12)), ("card ", "visa ", "pay ")
-            if not personal:
-                m, cue = r.choice(". -").join(digits(4) for _ in range(4)), ("order ", "isbn ", "ref ", "", "version ", "# ")
-        else:
-            m, cue = r.choice(("({}) {}-{}", "{}-{}-{}", "{}.{}.{}")).format(digits(3), digits(3), digits(4)), ("call ", "tel ", "phone ", "fax ", "mobile ", "contact ")
-            if not personal:
-                cue = ("order ", "ref ", "isbn ", "", "$", "version ", "id ", "# ")
-        if r.random() < 0.01:
-            personal = not personal
-        before = (filler * 3 + r.choice(cue) + r.choice(("", filler[:3] + " " if r.random() < 0.3 else "", ": ")))[-CONTEXT:]
-        x.append(_py_features(kind, m, before))
-        y.append(personal)
+        kind, is_personal = r.choice((0, 1, 2, 3, 3)), r.random() < 0.5
+        form = example_form(r, kind, is_personal)
+        before, after = example_context(r, personal[kind], other, prose, is_personal)
+        x.append(py_features(kind, form, before, after))
+        y.append(is_personal if r.random() < 0.99 else not is_personal)
     return np.array(x, float), np.array(y, float)
 
 
@@ -214,26 +259,55 @@ def _scored(candidates: Column) -> Column:
     return F.filter(F.transform(featured, score), lambda c: c["score"] >= F.element_at(limit, c["kind"] + 1))
 
 
-def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds base_spans and spans: arrays of (start, kind, end), kind an index in KINDS, by start, then kind."""
-    whole = F.coalesce(F.col(text), F.lit(""))
+def _own(docs: DataFrame, text: str) -> DataFrame:
+    """(_row: the row's own columns, whose names then meet none of this operator's; _whole: the text, null as empty)."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_whole"))
+
+
+def _found(rows: DataFrame) -> DataFrame:
+    """Adds base_spans and spans to _row and _whole."""
     plain = lambda a: F.transform(a, lambda s: F.struct(s["start"], s["kind"], s["end"]))
-    rows = docs.withColumn("_whole", whole)
     for kind in KINDS:
         rows = rows.withColumn(f"_{kind}", _spans(F.col("_whole"), kind, STRICT[kind], lambda m, kind=kind: _valid(kind, m)))
     rows = rows.withColumn("base_spans", F.array_sort(plain(F.concat(*(F.col(f"_{k}") for k in KINDS)))))
     always = lambda m: F.lit(True)
-    rows = rows.withColumn("_loose", F.concat(*(_spans(F.col("_whole"), k, LOOSE[k], always) for k in KINDS)))
+    rows = rows.withColumn("_loose", F.concat(*(_spans(F.col("_whole"), k, LOOSE[k], always, context=True) for k in KINDS)))
     # nothing below runs for a text without loose candidates
-    apart = lambda a, b: (a["end"] <= b["start"]) | (b["end"] <= a["start"])
     empty = F.array().cast("array<struct<score:double,start:int,kind:int,end:int>>")
     rows = rows.withColumn("_scored", F.when(F.size("_loose") > 0, _scored(F.col("_loose"))).otherwise(empty))
-    rows = rows.withColumn("_free", F.filter("_scored", lambda c: ~F.exists("base_spans", lambda b: ~apart(b, c))))
-    # of overlapping candidates the best stays
+    chosen = F.when(F.size("_scored") > 0, _apart(F.col("base_spans"), F.col("_scored"))).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
+    return rows.withColumn("spans", F.array_sort(F.concat("base_spans", chosen))).select("_row", "_whole", "base_spans", "spans")
+
+
+def _apart(base: Column, scored: Column) -> Column:
+    """Of the scored candidates those that overlap no base span and no better candidate that overlaps none. All spans are
+    walked once in the order of their starts; only runs that overlap are compared with each other."""
+    item = "struct<start:int,end:int,is_base:boolean,score:double,kind:int>"
+    as_item = lambda s, is_base: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(is_base).alias("is_base"), (F.lit(0.0) if is_base else s["score"]).alias("score"), s["kind"].alias("kind"))
+    ordered = F.array_sort(F.concat(F.transform(base, lambda s: as_item(s, True)), F.transform(scored, lambda s: as_item(s, False))))
+    none = F.array().cast(f"array<{item}>")
+
+    def walk(acc: Column, s: Column) -> Column:
+        begins = s["start"] >= acc["end"]
+        done = F.when(begins & (F.size(acc["run"]) > 0), F.concat(acc["runs"], F.array(acc["run"]))).otherwise(acc["runs"])
+        return F.struct(F.when(begins, F.array(s)).otherwise(F.concat(acc["run"], F.array(s))).alias("run"), done.alias("runs"), F.when(begins, s["end"]).otherwise(F.greatest(acc["end"], s["end"])).alias("end"))
+
+    zero = F.struct(none.alias("run"), F.array().cast(f"array<array<{item}>>").alias("runs"), F.lit(0).alias("end"))
+    runs = F.aggregate(ordered, zero, walk, lambda acc: F.concat(acc["runs"], F.array(acc["run"])))
+    over = lambda a, b: (a["end"] > b["start"]) & (b["end"] > a["start"])
     key = lambda c: F.struct(c["score"], -c["start"], -c["kind"], c["end"])
-    best = F.filter("_free", lambda c: ~F.exists("_free", lambda o: ~apart(c, o) & (key(o) > key(c))))
-    rows = rows.withColumn("spans", F.array_sort(F.concat("base_spans", plain(best))))
-    return rows.drop("_whole", "_loose", "_scored", "_free", *(f"_{k}" for k in KINDS))
+
+    def best(run: Column) -> Column:
+        free = F.filter(run, lambda c: ~c["is_base"] & ~F.exists(run, lambda b: b["is_base"] & over(b, c)))
+        return F.transform(F.array(free), lambda f: F.filter(f, lambda c: ~F.exists(f, lambda o: over(c, o) & (key(o) > key(c)))))[0]
+
+    return F.transform(F.flatten(F.transform(runs, best)), lambda c: F.struct(c["start"], c["kind"], c["end"]))
+
+
+def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Adds base_spans and spans: arrays of (start, kind, end), kind an index in KINDS, by start, then kind."""
+    kept = (f"_row.`{c}`" for c in docs.columns if c not in ("base_spans", "spans"))
+    return _found(_own(docs, text)).select(*kept, "base_spans", "spans")
 
 
 def joined(spans: Column) -> Column:
@@ -242,22 +316,36 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
+#: Code points of a piece of a text that is cut up for redaction.
+PIECE = 4096
+
+
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents with every span replaced by its kind in brackets; overlapping spans are replaced as one, by the
     first one's kind. Null texts stay null, clean texts stay as they are."""
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    source = F.col(text)
 
-    def step(acc: Column, s: Column) -> Column:
-        inside = s["start"] < acc["pos"]
-        cut = F.substring(source, acc["pos"] + 1, s["start"] - acc["pos"])
-        parts = F.when(inside, acc["parts"]).otherwise(F.concat(acc["parts"], F.array(cut, F.element_at(names, s["kind"] + 1))))
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), parts.alias("parts"))
+    def between(pieces: Column, a: Column, b: Column) -> Column:
+        # only the pieces that hold the stretch are looked at, not the text from its start
+        first = F.floor(a / PIECE).cast("int")
+        count = F.floor((b + PIECE - 1) / PIECE).cast("int") - first
+        return F.when(b <= a, "").otherwise(F.substring(F.array_join(F.slice(pieces, first + 1, F.greatest(F.lit(0), count)), ""), a - first * PIECE + 1, b - a))
+
+    def step(pieces: Column):
+        def cut(acc: Column, s: Column) -> Column:
+            parts = F.concat(acc["parts"], F.array(between(pieces, acc["pos"], s["start"]), F.element_at(names, s["kind"] + 1)))
+            return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.when(s["start"] < acc["pos"], acc["parts"]).otherwise(parts).alias("parts"))
+
+        return cut
 
     zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("parts"))
-    done = F.aggregate("spans", zero, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(source, acc["pos"] + 1, F.char_length(source))))
-    rows = with_spans(docs, text)
-    return rows.withColumn(text, F.when(F.size("spans") > 0, done).otherwise(source)).select(*docs.columns)
+    n = F.char_length("_whole")
+    finish = lambda pieces: lambda acc: F.concat(F.array_join(acc["parts"], ""), between(pieces, acc["pos"], n))
+    pieces = F.regexp_extract_all("_whole", F.lit(f"(?s).{{1,{PIECE}}}+"), F.lit(0))
+    done = F.transform(F.array(pieces), lambda p: F.aggregate("spans", zero, step(p), finish(p)))[0]
+    rows = _found(_own(docs, text))
+    kept = F.col(f"_row.`{text}`")
+    return rows.select(*((F.when(F.size("spans") > 0, done).otherwise(kept) if c == text else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
