@@ -3,9 +3,9 @@ numpy, with calibrated rejection.
 
 A text's subwords are the byte 3-grams and 4-grams of its lower-cased letters (other ASCII signs count as one space),
 hashed into BUCKETS; its embedding is their average over the whole text. Training sees every language, at most
-PER_LANGUAGE texts of each (fewer where that makes more than SAMPLE), chosen by a hash of doc_id among the rows that may be learned from; a fifth of them sets the temperature of the
-scores and the score under which a prediction is rejected (the REJECT share of right predictions lies under it, and it is
-never over MOST_REJECT).
+PER_LANGUAGE texts of each (fewer where that makes more than SAMPLE), chosen by a hash of doc_id and text among the rows
+that may be learned from; a fifth of them sets the temperature of the scores and the score under which a prediction is
+rejected (the REJECT share of right predictions lies under it, and it is never over MOST_REJECT).
 
 Defined cases: null texts and texts without a letter are `und` with score 0 and rejected; without anything to learn from,
 every text is `und`; with one language every other text has it with score 1; null doc_ids are neither learned from nor
@@ -141,9 +141,10 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     if not counts:
         return train([], [])
     most = min(PER_LANGUAGE, max(1, SAMPLE // len(counts)))
-    order = F.pmod(F.xxhash64(F.lit("langid"), "key"), F.lit(1 << 40)) / (1 << 40)
+    # of key and text, so that rows that repeat a key are sampled each by itself; equal rows are one
+    order = F.pmod(F.xxhash64(F.lit("langid"), "key", "text"), F.lit(1 << 40)) / (1 << 40)
     share = F.create_map(*(F.lit(x) for lang_, n in counts.items() for x in (lang_, min(1.0, 1.3 * most / n + 20 / n))))
-    sample = rows.withColumn("order", order).filter(F.col("order") < F.element_at(share, F.col("lang"))).toPandas()
+    sample = rows.withColumn("order", order).filter(F.col("order") < F.element_at(share, F.col("lang"))).dropDuplicates(["key", "text", "lang"]).toPandas()
     sample = sample.sort_values(["order", "key", "text"], kind="stable").groupby("lang", sort=False).head(most)
     return train(sample["text"].tolist(), sample["lang"].tolist())
 

@@ -249,7 +249,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return train([], [])
     # at most TOXIC + CLEAN ids: a table of known size
     ids = docs.sparkSession.createDataFrame([(int(k), int(y), float(o)) for k, y, o in zip(chosen["key"], chosen["y"], chosen["order"], strict=True)], "key long, y int, order double")
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(ids), "key").toPandas().sort_values(["order", "key"], kind="stable").drop_duplicates("key")
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(ids), "key")
+    # one text of each, however many rows repeat its doc_id
+    rows = rows.groupBy("key", "y", "order").agg(F.min("text").alias("text")).toPandas().sort_values(["order", "key"], kind="stable")
     return train(rows["text"].tolist(), rows["y"].tolist())
 
 

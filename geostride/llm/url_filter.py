@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geostride.session import table
+from geostride.session import materialize, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules up to this number are compiled into the plan; more are joined as a table.
@@ -154,7 +154,8 @@ def _fits_joined(rows: DataFrame, rules: Sequence[Rule], index: dict[str, list[i
     """For long rule lists: the distinct urls' tokens fetch rules by a join, then the verdicts return to the rows."""
     spark = rows.sparkSession
     listed = [(t, rules[k].regex, rules[k].pattern, rules[k].action, rules[k].is_host) for t, ks in index.items() for k in ks]
-    indexed = spark.createDataFrame(listed, "token string, regex string, rule string, action string, is_host boolean")
+    # written, so that Spark knows its size: under the session's threshold it is broadcast and no url's token is dealt out
+    indexed = materialize(spark.createDataFrame(listed, "token string, regex string, rule string, action string, is_host boolean"), "url-rules")
     urls = rows.select("_canon").distinct()
     tokens = url_tokens(F.col("_canon"))
     pairs = urls.select("_canon", F.explode(F.concat(tokens, F.array(F.lit(""))) if "" in index else tokens).alias("token")).join(indexed, "token")
