@@ -18,7 +18,10 @@ def as_float(field: Column) -> Column:
 
 
 def as_int(field: Column) -> Column:
-    return F.coalesce(F.regexp_extract(field, r"^\s*([+-]?[0-9]{1,9})", 1).try_cast("int"), F.lit(0))
+    """Leading whole number of a text (nine digits at most), 0 without one. The expression is for what isn't plainly one."""
+    plain = F.when(F.length(field) <= 9, field.try_cast("int"))
+    leading = F.regexp_extract(field, r"^\s*([+-]?[0-9]{1,9})", 1).try_cast("int")
+    return F.when(F.coalesce(field, F.lit("")) == "", 0).otherwise(F.coalesce(plain, leading, F.lit(0)))
 
 
 def coordinate(value: Column, hemisphere: Column) -> Column:
@@ -36,7 +39,7 @@ def constellation(talker: Column) -> Column:
 
 def fields(line: Column) -> Column:
     """Fields of a sentence: up to the checksum's star, commas part them, the 24th takes what is left."""
-    body = F.regexp_extract(F.substring(F.regexp_replace(line, "[\r\n]", ""), 1, MAX_LINE), r"^([^*]*)", 1)
+    body = F.substring_index(F.substring(F.translate(line, "\r\n", ""), 1, MAX_LINE), "*", 1)
     return F.slice(F.split(body, ",", -1), 1, MAX_FIELDS)
 
 
@@ -53,6 +56,17 @@ def checksum_ok(line: Column) -> Column:
     return F.lpad(F.hex(total), 2, "0") == F.upper(F.regexp_extract(line, r"\*([0-9A-Fa-f]{2})", 1))
 
 
+#: Years that a clock may show before it is set by a satellite. Fixed values.
+PLAUSIBLE_YEARS = (2026, 2036)
+
+
+def plausible_date(date: Column) -> Column:
+    """Whether ddmmyy is a day of a month in the range, and its year (20yy) one that a clock may show."""
+    part = lambda k: F.substring(date, k, 2).try_cast("int")
+    ok = (F.length(date) == 6) & part(1).between(1, 31) & part(3).between(1, 12) & (part(5) + 2000).between(*PLAUSIBLE_YEARS)
+    return F.coalesce(ok, F.lit(False))
+
+
 def epoch(utc: Column, date: Column) -> Column:
     """Seconds since 1970 of hhmmss and ddmmyy (years under 80 are 20yy); 0 where a field is short or out of range."""
     part = lambda c, k: F.coalesce(F.substring(c, k, 2).try_cast("int"), F.lit(0))

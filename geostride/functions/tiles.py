@@ -22,6 +22,11 @@ def _shr(v: Column, b: Column) -> Column:
     return F.call_function("shiftright", v, b)
 
 
+def _once(value: Column, f) -> Column:
+    """f(value) worked out once, however many of its fields are read: the optimizer doesn't copy a transform."""
+    return F.transform(F.array(value), f)[0]
+
+
 def _pow2(z: Column) -> Column:
     return F.pow(F.lit(2.0), z)
 
@@ -73,8 +78,10 @@ def wrap_x(x: Column, z: Column) -> Column:
 def hilbert_id(z: Column, x: Column, y: Column) -> Column:
     """Tile id: the tiles of all lower zooms, then the place along the Hilbert curve of zoom z. Null outside the zoom's
     square and over MAX_ZOOM."""
-    z, x, y = z.cast("int"), x.cast("long"), y.cast("long")
+    return _once(F.struct(z.cast("int").alias("z"), x.cast("long").alias("x"), y.cast("long").alias("y")), lambda t: _walked(t["z"], t["x"], t["y"]))
+
 
+def _walked(z: Column, x: Column, y: Column) -> Column:
     def step(acc: Column, b: Column) -> Column:
         # x and y have b + 1 bits; the top ones name the quadrant. In the two quadrants with y's bit 0 the curve is mirrored
         # (x's bit 0: the coordinates change places) or turned over (1: their lower bits are inverted too)
@@ -100,14 +107,18 @@ def lower_zooms(z: Column) -> Column:
 
 
 def zoom_of_id(tile_id: Column) -> Column:
-    """Zoom of a tile id."""
-    return F.size(F.filter(F.sequence(F.lit(1), F.lit(MAX_ZOOM)), lambda k: lower_zooms(k) <= tile_id))
+    """Zoom of a tile id: half the bits of 3 id + 1, which lies in [4^z, 4^(z+1))."""
+    return F.floor((F.length(F.bin(tile_id.cast("long") * 3 + 1)) - 1) / 2).cast("int")
 
 
 def hilbert_zxy(tile_id: Column) -> Column:
     """struct(z, x, y) of a tile id; null for negative ids and those over MAX_ZOOM."""
-    z = zoom_of_id(tile_id)
+    ok = (tile_id >= 0) & (tile_id < F.lit((4 ** (MAX_ZOOM + 1) - 1) // 3))
+    sound = F.when(ok, tile_id.cast("long"))
+    return _once(F.struct(sound.alias("id"), zoom_of_id(sound).alias("z")), lambda s: F.when(s["id"].isNotNull(), _walked_back(s["id"], s["z"])))
+
 
+def _walked_back(tile_id: Column, z: Column) -> Column:
     def step(acc: Column, b: Column) -> Column:
         s = _shl(b)
         quarter = acc["t"].bitwiseAND(F.lit(3).cast("long"))
@@ -122,15 +133,14 @@ def hilbert_zxy(tile_id: Column) -> Column:
 
     bits = F.when(z > 0, F.sequence(F.lit(0), z - 1)).otherwise(F.array().cast("array<int>"))
     zero = F.struct((tile_id - lower_zooms(z)).alias("t"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"))
-    walked = F.aggregate(bits, zero, step, lambda acc: F.struct(acc["x"].alias("x"), acc["y"].alias("y")))
-    ok = (tile_id >= 0) & (tile_id < F.lit((4 ** (MAX_ZOOM + 1) - 1) // 3))
-    return F.when(ok, F.struct(z.alias("z"), walked["x"].alias("x"), walked["y"].alias("y")))
+    return F.aggregate(bits, zero, step, lambda acc: F.struct(z.alias("z"), acc["x"].alias("x"), acc["y"].alias("y")))
 
 
 def parent_tile(z: Column, x: Column, y: Column, s: Column) -> Column:
     """struct(z, x, y, qx, qy): the tile s zooms up and the place of this one in it."""
-    n = F.pow(F.lit(2.0), s).cast("long")
-    return F.struct((z - s).alias("z"), F.floor(x / n).cast("long").alias("x"), F.floor(y / n).cast("long").alias("y"), F.pmod(x, n).alias("qx"), F.pmod(y, n).alias("qy"))
+    low = _shl(s.cast("int")) - 1
+    given = F.struct(z.alias("z"), x.alias("x"), y.alias("y"), s.cast("int").alias("s"), low.alias("low"))
+    return _once(given, lambda t: F.struct((t["z"] - t["s"]).alias("z"), _shr(t["x"], t["s"]).alias("x"), _shr(t["y"], t["s"]).alias("y"), t["x"].bitwiseAND(t["low"]).alias("qx"), t["y"].bitwiseAND(t["low"]).alias("qy")))
 
 
 def grid_origin(f: Column, n: int = 2) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geostride.functions import nmea
+from geostride.operators.policies import run_policy
 
 FIELDS = ("status", "utc", "date", "lat", "lon", "course", "speed_kmh", "sats", "hdop", "altitude", "mode")
 
@@ -55,12 +56,15 @@ def constellations(lines: DataFrame, device: str = "device", seq: str = "seq", l
     new group; best and worst are over the tracked satellites of the group so far; 0 means none."""
     f = lambda k: F.get("f", F.lit(k))
     rows = parsed(lines, line).filter("type = 'GSV' and n >= 4").withColumn("con", nmea.constellation(F.col("talker"))).filter("con >= 0")
-    snr = F.filter(F.transform(F.filter(F.sequence(F.lit(4), F.lit(nmea.MAX_FIELDS)), lambda i: ((i % 4) == 0) & (i + 3 < F.col("n"))), lambda i: nmea.as_int(F.get("f", i + 3))), lambda s: s > 0)
-    rows = rows.withColumn("_snr", snr).withColumn("visible", nmea.as_int(f(3)))
+    # a sentence has up to five signals, in fields 7, 11, ..
+    for k in range(7, nmea.MAX_FIELDS, 4):
+        rows = rows.withColumn(f"_{k}", F.when(F.col("n") > k, nmea.as_int(f(k)))).withColumn(f"_{k}", F.when(F.col(f"_{k}") > 0, F.col(f"_{k}")))
+    signals = [F.col(f"_{k}") for k in range(7, nmea.MAX_FIELDS, 4)]
+    rows = rows.withColumn("_best", F.greatest(*signals)).withColumn("_worst", F.least(*signals)).withColumn("visible", nmea.as_int(f(3)))
     w = Window.partitionBy(device, "con").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("group_no", F.sum(F.when(nmea.as_int(f(2)) == 1, 1).otherwise(0)).over(w))
     g = Window.partitionBy(device, "con", "group_no").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    best, worst = F.max(F.array_max("_snr")).over(g), F.min(F.array_min("_snr")).over(g)
+    best, worst = F.max("_best").over(g), F.min("_worst").over(g)
     return rows.select(device, "con", "group_no", seq, "visible", F.coalesce(best, F.lit(0)).alias("best_snr"), F.coalesce(worst, F.lit(0)).alias("worst_snr"))
 
 
@@ -69,25 +73,22 @@ def first_fix_times(fix_rows: DataFrame, device: str = "device", ts: str = "ts")
     return fix_rows.groupBy(device).agg(F.min(F.when(nmea.coarse(F.col("status")), F.col(ts))).alias("first_coarse"), F.min(F.when(nmea.fine(F.col("status"), F.col("mode"), F.col("hdop")), F.col(ts))).alias("first_fine"))
 
 
-def pps_intervals(pulses: DataFrame, device: str = "device", ms: str = "ms") -> DataFrame:
-    """Intervals between pulses, those under 2000 ms."""
+def pps_intervals(pulses: DataFrame, device: str = "device", ms: str = "ms", below_ms: int = 2000) -> DataFrame:
+    """Intervals between pulses, those under below_ms."""
     rows = pulses.withColumn("interval_ms", F.col(ms) - F.lag(ms).over(Window.partitionBy(device).orderBy(ms)))
-    return rows.filter("interval_ms < 2000")
+    return rows.filter(F.col("interval_ms") < below_ms)
 
 
 def changed_fixes(fix_rows: DataFrame, keys: tuple[str, ...] = ("lat", "lon", "status"), device: str = "device", ms: str = "ms", hold_ms: int = 1000) -> DataFrame:
-    """Fixes without those that repeat the row before within hold_ms of the last one let through. Runs of equal rows are
-    islands; in an island one passes each time hold_ms have gone by since the one before that passed."""
-    w = Window.partitionBy(device).orderBy(ms)
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.lag(k).over(w))
-    rows = fix_rows.withColumn("_new", (~same | F.lag(ms).over(w).isNull()).cast("int")).withColumn("_island", F.sum("_new").over(w))
-    # inside an island the passing rows follow from a fold over its times, all at once
-    inside = rows.groupBy(device, "_island").agg(F.sort_array(F.collect_set(ms)).alias("_t"))
-    step = lambda acc, t: F.when(F.size(acc) == 0, F.array(t)).when(t - F.element_at(acc, -1) >= hold_ms, F.concat(acc, F.array(t))).otherwise(acc)
-    passed = inside.select(device, "_island", F.explode(F.aggregate("_t", F.array().cast("array<long>"), step)).alias(ms))
-    return rows.join(passed, [device, "_island", ms]).drop("_new", "_island")
+    """Fixes without those that repeat the row before within hold_ms of the last one let through. In a run of equal rows
+    one passes each time hold_ms have gone by since the one before that passed: a fold over each device's sorted rows."""
+
+    def step(s: dict | None, r: dict) -> tuple[dict, dict]:
+        now = tuple(r[k] for k in keys)
+        passes = s is None or now != s["row"] or r[ms] - s["passed"] >= hold_ms
+        return {"row": now, "passed": r[ms] if passes else s["passed"]}, {"_passes": passes}
+
+    return run_policy(fix_rows, step, "_passes boolean", device, ms).filter("_passes").drop("_passes")
 
 
 def silent_since(fix_rows: DataFrame, device: str = "device", ms: str = "ms", limit_ms: int = 3000) -> DataFrame:

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from geostride.functions.nmea import course_usable
 from geostride.operators.gnss import as_of
-from geostride.session import ship
+from geostride.operators.policies import run_policy
+from geostride.session import materialize, ship
 
 TERMS = ("xx", "yy", "zz", "x", "y", "z")
 KEEP, STRIDE, LEAST_POINTS = 128, 4, 32
 LEAST_PIVOT, MOST_RESIDUAL, MOST_SPREAD = 1e-9, 0.15, 0.15
 MEAN_RADIUS = (5.0, 200.0)
-SMOOTHING, MOTION, MOTION_RUN, STIR = 0.08, 1500.0, 2, 500.0
+SMOOTHING, MOTION, STIR = 0.08, 1500.0, 500.0
 FIT = "ok boolean, reason string, cx double, cy double, cz double, gx double, gy double, gz double, residual double, points int"
 
 
@@ -130,38 +131,46 @@ def midrange(samples: DataFrame, key: str = "device") -> DataFrame:
 
 
 def motion_flags(samples: DataFrame, key: str = "device", order: str = "seq", block: int = 512) -> DataFrame:
-    """Adds deviation from smoothed gravity, stirred, and moved (MOTION_RUN large deviations in a row).
+    """Adds deviation from smoothed gravity, stirred, and moved (two large deviations in a row).
 
     The smoothing g' = g + SMOOTHING (a - g) is linear, so a block of rows acts on the state before it by a factor and a
-    sum. Blocks are summed up side by side; the state before each block follows from the blocks before it, and only then
-    are the rows of each block filled in. A device's rows are thus spread over tasks."""
+    sum. Blocks are stretches of the order that hold at most `block` rows, and are summed up side by side; only the blocks of a device, not its rows, are walked in order for the state before each of them; then the rows of each
+    block are filled in. So a device's rows are spread over tasks."""
     keep = 1 - SMOOTHING
-    w = Window.partitionBy(key).orderBy(order)
-    rows = samples.withColumn("_k", F.row_number().over(w) - 1).withColumn("_block", F.floor(F.col("_k") / block)).withColumn("_i", F.col("_k") % block)
-    # the first row sets the state: it enters with weight 1
+    span = samples.groupBy(key).agg(F.min(order).alias("_first"), F.max(order).alias("_last"), F.count("*").alias("_all"))
+    span = materialize(span.select(key, "_first", F.greatest(F.lit(1.0), (F.col("_last") - F.col("_first") + 1) / F.ceil(F.col("_all") / block)).alias("_width")), "motion-spans")
+    rows = samples.join(span, key).withColumn("_block", F.floor((F.col(order) - F.col("_first")) / F.col("_width"))).drop("_first", "_width")
     inside = Window.partitionBy(key, "_block")
-    size = F.count("*").over(inside)
-    weight = F.when(F.col("_k") == 0, 1.0).otherwise(SMOOTHING) * F.pow(F.lit(keep), size - 1 - F.col("_i"))
-    sums = rows.withColumn("_w", weight).groupBy(key, "_block").agg(F.count("*").alias("_n"), *(F.sum(F.col("_w") * F.col(a)).alias(f"_s{a}") for a in ("ax", "ay", "az")))
-    folded = sums.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_block", "_n", "_sax", "_say", "_saz"))).alias("_b"))
-    state = "struct<b:bigint,x:double,y:double,z:double>"
-    last = lambda acc: F.element_at(acc, -1)
-    step = lambda acc, s: F.concat(acc, F.array(F.struct((s["_block"] + 1).alias("b"), *((last(acc)[v] * F.pow(F.lit(keep), s["_n"]) + s[c]).alias(v) for v, c in (("x", "_sax"), ("y", "_say"), ("z", "_saz"))))))
-    start = F.array(F.struct(F.lit(0).cast("long").alias("b"), *(F.lit(0.0).alias(v) for v in "xyz"))).cast(f"array<{state}>")
-    before = folded.select(key, F.explode(F.aggregate("_b", start, step)).alias("s")).select(key, F.col("s.b").alias("_block"), *(F.col(f"s.{v}").alias(f"_g{v}") for v in "xyz"))
+    # a stretch with more rows than others is more blocks, so that the powers below stay in range
+    rows = rows.withColumn("_i", F.row_number().over(inside.orderBy(order)) - 1)
+    rows = rows.withColumn("_block", F.col("_block") * (1 << 32) + F.floor(F.col("_i") / block)).withColumn("_i", F.col("_i") % block)
+    # the first row of all sets the state: it enters with weight 1 (block 0 is never empty)
+    first = (F.col("_block") == 0) & (F.col("_i") == 0)
+    rows = materialize(rows, "motion-rows")
+    weight = F.when(first, 1.0).otherwise(SMOOTHING) * F.pow(F.lit(keep), F.count("*").over(inside) - 1 - F.col("_i"))
+    sums = rows.withColumn("_w", weight).groupBy(key, "_block").agg(F.count("*").alias("_n"), *(F.sum(F.col("_w") * F.col(a)).alias(f"_s{v}") for v, a in zip("xyz", ("ax", "ay", "az"), strict=True)))
+
+    def state(s: dict | None, r: dict) -> tuple[dict, dict]:
+        s = s or dict.fromkeys("xyz", 0.0)
+        return {v: s[v] * keep ** r["_n"] + r[f"_s{v}"] for v in "xyz"}, {f"_g{v}": s[v] for v in "xyz"}
+
+    before = run_policy(sums, state, "_gx double, _gy double, _gz double", key, "_block").select(key, "_block", "_gx", "_gy", "_gz")
     rows = rows.join(before, [key, "_block"])
-    past = Window.partitionBy(key, "_block").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+    past = inside.orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
     g = []
-    for v, a in (("x", "ax"), ("y", "ay"), ("z", "az")):
+    for v, a in zip("xyz", ("ax", "ay", "az"), strict=True):
         # state before row i: keep^i g + sum over j < i of w_j keep^(i - 1 - j) a_j, with the power taken out of the sum
-        scaled = F.when(F.col("_k") == 0, 1.0).otherwise(SMOOTHING) * F.col(a) * F.pow(F.lit(keep), -F.col("_i") - 1)
+        scaled = F.when(first, 1.0).otherwise(SMOOTHING) * F.col(a) * F.pow(F.lit(keep), -F.col("_i") - 1)
         g.append(F.pow(F.lit(keep), F.col("_i")) * (F.col(f"_g{v}") + F.coalesce(F.sum(scaled).over(past), F.lit(0.0))))
     square = sum(((F.col(a) - gv) * (F.col(a) - gv) for a, gv in zip(("ax", "ay", "az"), g, strict=True)), F.lit(0.0))
-    rows = rows.withColumn("deviation", F.when(F.col("_k") > 0, F.sqrt(square)).otherwise(0.0))
-    rows = rows.withColumn("stirred", F.col("deviation") > STIR).withColumn("_large", (F.col("deviation") > MOTION).cast("int"))
-    run = F.sum("_large").over(w.rowsBetween(1 - MOTION_RUN, 0))
-    rows = rows.withColumn("moved", run >= MOTION_RUN)
-    return rows.drop("_k", "_block", "_i", "_large", "_gx", "_gy", "_gz")
+    rows = rows.withColumn("deviation", F.when(first, 0.0).otherwise(F.sqrt(square)))
+    rows = materialize(rows.withColumn("stirred", F.col("deviation") > STIR).withColumn("_large", F.col("deviation") > MOTION), "motion-deviations")
+    # the row before a block's first is the last of the block before
+    ends = rows.groupBy(key, "_block").agg(F.max_by("_large", "_i").alias("_end"))
+    ends = ends.select(key, "_block", F.coalesce(F.lag("_end").over(Window.partitionBy(key).orderBy("_block")), F.lit(False)).alias("_before"))
+    last = F.coalesce(F.lag("_large").over(inside.orderBy("_i")), F.col("_before"))
+    rows = rows.join(ends, [key, "_block"]).withColumn("moved", F.col("_large") & last)
+    return rows.select(*samples.columns, "deviation", "stirred", "moved")
 
 
 def motion_peaks(rows: DataFrame, key: str = "device", ts: str = "ts", every: str = "15 seconds") -> DataFrame:
@@ -175,7 +184,10 @@ def paired_log(fixes: DataFrame, samples: DataFrame, key: str = "device", ms: st
     usable = fixes.filter(course_usable(F.col("status"), F.col("mode"), F.col("hdop"), F.col("speed_kmh")))
     joined = as_of(usable, samples.withColumnRenamed("ms", "sample_ms"), key, ms, "sample_ms", "sample", fresh_ms).filter("sample is not null")
     once = joined.withColumn("_first", F.row_number().over(Window.partitionBy(key, "sample.seq").orderBy(ms))).filter("_first = 1").drop("_first")
-    times = once.groupBy(key).agg(F.sort_array(F.collect_set(ms)).alias("_t"))
-    step = lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) >= every_ms), F.concat(acc, F.array(t))).otherwise(acc)
-    passed = times.select(key, F.explode(F.aggregate("_t", F.array().cast("array<long>"), step)).alias(ms))
-    return once.join(passed, [key, ms])
+
+    def gate(last: int | None, r: dict) -> tuple[int, dict]:
+        passes = last is None or r[ms] - last >= every_ms
+        return (r[ms] if passes else last), {"_passes": passes}
+
+    times = run_policy(once.select(key, ms, F.col("sample.seq").alias("_seq")), gate, "_passes boolean", key, ms).filter("_passes").select(key, ms, "_seq")
+    return once.join(times, (once[key] == times[key]) & (once[ms] == times[ms]) & (F.col("sample.seq") == F.col("_seq")), "left_semi")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geostride.functions.tiles import from_mercator, hilbert_zxy, mercator_log
+from geostride.operators.ordering import numbered
 from geostride.session import ship
 
 TARGET_PX, SIMPLIFY_PX, LAND_PX, LAKE_PX, GRID = 1280, 0.7, 2.0, 2.5, 65535
@@ -72,8 +73,7 @@ def outline(rings: DataFrame, min_area_px: float = LAND_PX) -> DataFrame:
     rows = simplify_rings(projected, SIMPLIFY_PX / TARGET_PX).filter(F.size("pts") >= 4)
     rows = rows.filter(ring_area(F.col("pts")) >= (min_area_px / TARGET_PX) ** 2)
     rows = rows.withColumn("pts", quantised(F.col("pts"))).filter(F.size("pts") >= 4)
-    order = Window.orderBy(F.desc(F.size("pts")), "ord")
-    return rows.withColumn("ring_id", F.row_number().over(order) - 1).select("ring_id", "ord", "pts")
+    return numbered(rows, [F.desc(F.size("pts")), F.col("ord")], "ring_id").select("ring_id", "ord", "pts")
 
 
 def column_bytes(entries: DataFrame, z: int, south: float = -85.0, north: float = 85.0) -> DataFrame:

@@ -1,6 +1,7 @@
 """How far a stream of fixes can be trusted: seven checks per fix, held for a while, and a level.
 
-The checks are made once for each fix row of a device (ts in seconds as double, in order)."""
+The checks are made once for each fix row of a device (ts in seconds as double, in order; equal times by seq where rows
+have it)."""
 
 from __future__ import annotations
 
@@ -8,9 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geostride.functions.geo import flat_m_mean
+from geostride.operators.ordering import in_order
 
 #: Bits by name, in order; bit k is 2^k. Fixed values.
 FLAGS = ("jump", "speed", "clock", "sat SNR", "PPS", "wifi disagrees", "altitude")
+#: Thresholds of the checks. Fixed values.
 HOLD_S = 8.0
 MAX_KMH, SPEED_MIN_KMH, SPEED_TOLERANCE = 400.0, 15.0, 0.5
 ALT_MIN, ALT_MAX, FREEZE_STEPS, FREEZE_M = -450.0, 12000.0, 30, 20.0
@@ -22,14 +25,14 @@ WIFI_M, WIFI_USED, WIFI_AGE_S = 3000.0, 5, 60.0
 
 def sessions(fixes: DataFrame, device: str = "device", ts: str = "ts") -> DataFrame:
     """Adds session: a count of the fixes without a position so far; history doesn't reach over one."""
-    w = Window.partitionBy(device).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(device).orderBy(*in_order(fixes, ts)).rowsBetween(Window.unboundedPreceding, 0)
     return fixes.withColumn("session", F.sum((F.col("status") != "A").cast("int")).over(w))
 
 
 def with_motion(fixes: DataFrame, device: str = "device", ts: str = "ts") -> DataFrame:
     """Adds session, moved_m, dt_s, implied_kmh (null without a usable row before) and alt_step."""
     rows = sessions(fixes, device, ts)
-    w = Window.partitionBy(device, "session").orderBy(ts)
+    w = Window.partitionBy(device, "session").orderBy(*in_order(rows, ts))
     fixed = F.col("status") == "A"
     # the row that opens a session is the one without a position; its successor has no history
     before = lambda c: F.when(F.lag("status").over(w) == "A", F.lag(c).over(w))
@@ -45,9 +48,10 @@ def with_freeze(rows: DataFrame, device: str = "device", ts: str = "ts") -> Data
     out = fixed & ((F.col("altitude") < ALT_MIN) | (F.col("altitude") > ALT_MAX))
     acting = fixed & ~out & F.col("alt_step").isNotNull()
     still = acting & (F.col("alt_step") < 0.01) & (F.col("moved_m") > FREEZE_M)
-    w = Window.partitionBy(device).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
+    by = in_order(rows, ts)
+    w = Window.partitionBy(device).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("alt_out", out).withColumn("_still", still).withColumn("_run", F.sum((acting & ~still).cast("int")).over(w))
-    count = F.sum(F.col("_still").cast("int")).over(Window.partitionBy(device, "_run").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0))
+    count = F.sum(F.col("_still").cast("int")).over(Window.partitionBy(device, "_run").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("same_count", count.cast("int")).withColumn("frozen", F.col("_still") & (F.col("same_count") > FREEZE_STEPS)).drop("_still", "_run")
 
 
@@ -100,7 +104,7 @@ def trust(fixes: DataFrame, device: str = "device", ts: str = "ts", hold_s: floa
     rows = rows.withColumn("flags", held)
     count = F.bit_count("flags")
     own = F.when(F.col("status") == "A", F.when(count == 0, "OK").when(count == 1, "ODD").otherwise("BAD"))
-    last = F.last(own, ignorenulls=True).over(Window.partitionBy(device).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0))
+    last = F.last(own, ignorenulls=True).over(Window.partitionBy(device).orderBy(*in_order(rows, ts)).rowsBetween(Window.unboundedPreceding, 0))
     level = F.when(F.col("status") == "A", own).when(F.col("flags") == 0, "UNKNOWN").otherwise(F.coalesce(last, F.lit("UNKNOWN")))
     return rows.withColumn("level", level).withColumn("text", flag_text(F.col("flags")))
 

@@ -10,52 +10,14 @@ from pyspark.sql import functions as F
 
 from geostride.functions import compass, geo, nmea, scalars, sun, tiles
 from geostride.operators import archive, coverage, gnss, magnet, places, rings, trust, waypoints, wifi
-from geostride.plans.surrogates import CUSTOMERS_SQL, EVENTS_SQL, LAT_SQL, LON_SQL, customers, events, lat_of, lon_of
+from geostride.plans.registry import ORACLE_SQL, QUERIES, query
+from geostride.plans.surrogates import CUSTOMERS_SQL, EVENTS_SQL, FX, FY, HILBERT, LAT_SQL, LON_SQL, SEQ_SQL, customers, events, lat_of, line_seq, lon_of
 from geostride.session import table
 
 Z = 14
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
 
 r6 = lambda c: F.round(c, 6)
 
-#: An order of the line items without ties (their line numbers repeat).
-SEQ_SQL = "((((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey) * 100 + CAST(l_quantity AS BIGINT))"
-
-
-def line_seq():
-    c = F.col
-    return (((c("l_orderkey") * 10 + c("l_linenumber")) * 100000 + c("l_partkey")) * 10000 + c("l_suppkey")) * 100 + c("l_quantity").cast("long")
-
-
-#: DuckDB: fractional tile coordinates at zoom z of lat, lon.
-FX = "((lon + 180.0::DOUBLE) / 360.0::DOUBLE * {n}::DOUBLE)"
-FY = "((1.0::DOUBLE - asinh(tan(radians(greatest(-85.05112877980659::DOUBLE, least(85.05112877980659::DOUBLE, lat))))) / pi()) / 2.0::DOUBLE * {n}::DOUBLE)"
-#: DuckDB: Hilbert id of (z, x, y) rows in t(k, z, x, y), walked bit by bit.
-HILBERT = """
-walk(k, z, b, d, x, y) AS (
-  SELECT k, z, z - 1, 0::BIGINT, x::BIGINT, y::BIGINT FROM t
-  UNION ALL
-  SELECT k, z, b - 1,
-    d + (1::BIGINT << (2 * b)) * (CASE WHEN (y >> b) = 0 THEN 3 * (x >> b) ELSE (x >> b) + 1 END),
-    CASE WHEN (y >> b) = 0 THEN (CASE WHEN (x >> b) = 1 THEN (1::BIGINT << b) - 1 - (y & ((1::BIGINT << b) - 1)) ELSE (y & ((1::BIGINT << b) - 1)) END) ELSE (x & ((1::BIGINT << b) - 1)) END,
-    CASE WHEN (y >> b) = 0 THEN (CASE WHEN (x >> b) = 1 THEN (1::BIGINT << b) - 1 - (x & ((1::BIGINT << b) - 1)) ELSE (x & ((1::BIGINT << b) - 1)) END) ELSE (y & ((1::BIGINT << b) - 1)) END
-  FROM walk WHERE b >= 0),
-ids AS (SELECT k, ((1::BIGINT << (2 * z)) - 1) // 3 + d AS tile_id FROM walk WHERE b = -1)
-"""
-
-
 @query(f"""
 WITH RECURSIVE p AS (SELECT *, {FX.format(n=16384)} AS fx, {FY.format(n=16384)} AS fy FROM ({CUSTOMERS_SQL})),
 t AS (SELECT id AS k, 14 AS z, CAST(floor(fx) AS BIGINT) AS x, CAST(floor(fy) AS BIGINT) AS y FROM p), {HILBERT}
@@ -568,24 +530,6 @@ def rate_wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select("device", "seq", want.alias("want"))
 
 
-@query(None)
-def rate_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rate in force after each fix (a fold; SQL has none)."""
-    from geostride.operators.policies import rate_step, run_policy
-
-    e = events(spark, sf_dir).withColumn("ms", F.floor(F.col("us") / 1000)).select("device", "seq", "ms", "status", "mode", "speed_kmh")
-    return run_policy(e, rate_step, "rate_ms int")
-
-
-@query(None)
-def survey_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """When a device would scan, and why (a fold)."""
-    from geostride.operators.policies import run_policy, survey_step
-
-    e = events(spark, sf_dir).withColumn("ms", F.floor(F.col("us") / 1000)).select("device", "seq", "ms", "status", "mode", "hdop", "speed_kmh", "lat", "lon")
-    return run_policy(e, survey_step, "why string")
-
-
 @query(None)
 def calibration_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ellipsoid fits (elimination and judgement in numpy on one row a device)."""
@@ -593,17 +537,11 @@ def calibration_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return magnet.fits(v)
 
 
-@query(None)
-def motion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Motion flags over smoothed gravity (a recursion, in blocks)."""
-    h = (F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 31) % 1009
-    s = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("device"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), (h * 3.0).alias("ax"), (h % 100 * 5.0).alias("ay"), F.lit(16000.0).alias("az"))
-    return magnet.motion_flags(s)
-
-
 @query(None)
 def labels_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy labels of views (suppliers' nations as views; each label depends on those before it)."""
     k = F.col("s_suppkey")
     s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("view"), (k % 4).cast("int").alias("slot"), k.cast("int").alias("ord"), F.element_at(F.array(*map(F.lit, ("country", "region", "locality", "hood", "poi"))), (k % 5 + 1).cast("int")).alias("style"), (k * 137 % 1280).cast("int").alias("sx"), (k * 71 % 720).cast("int").alias("sy"), (60 + k % 90).cast("int").alias("width_px"), F.lit(20).alias("height_px"), F.col("s_name").alias("text"))
     return places.place_labels(s)
+
+from geostride.plans import decoding, devices  # noqa: E402, F401  register their queries

@@ -107,3 +107,28 @@ def varint(data: bytes, at: int, end: int) -> tuple[int, int]:
         if b < 128:
             return value & 0xFFFFFFFFFFFFFFFF, at
         shift += 7
+
+
+def inflated(rows, column: str, verify: bool = True, most: int = 1 << 30):
+    """rows with a column of packed bytes (gzip, zlib or raw DEFLATE) unpacked, in Arrow batches; null stays null, and what
+    can't be unpacked is null too."""
+    import pyarrow as pa
+
+    from geostride.session import ship
+
+    ship(rows.sparkSession)
+    at = rows.columns.index(column)
+
+    def one(data: bytes | None) -> bytes | None:
+        try:
+            return None if data is None else inflate(data, verify, most)
+        except FormatError:
+            return None
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                yield part.set_column(at, column, pa.array([one(x.as_py()) for x in part.column(at)], pa.binary()))
+
+    return rows.mapInArrow(run, rows.schema)

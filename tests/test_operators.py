@@ -352,7 +352,7 @@ def test_waypoints(spark):
     full = spark.range(32).selectExpr("cast(id as int) idx", "0D lat", "0D lon", "'x' name", "cast(null as long) saved_utc")
     assert waypoints.add(full, 1.0, 1.0, "more").count() == 32
     fix = spark.createDataFrame([("A", 1.0, 2.001), ("V", 1.0, 2.0)], "status string, lat double, lon double")
-    assert [r.text for r in waypoints.target_range(fix, waypoints.set_target(p, 0)).collect()] == ["111 m W"]
+    assert [r.text for r in waypoints.target_range(fix, waypoints.set_target(p, 0)).collect()] == ["pin 1: 111 m W"]
 
 
 def test_rings(spark):
