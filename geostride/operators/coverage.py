@@ -57,3 +57,30 @@ def world_floor(spark, max_zoom: int = 6) -> DataFrame:
     from geostride.functions.tiles import hilbert_zxy
 
     return rows.select("tile_id", hilbert_zxy(F.col("tile_id")).alias("t")).select("tile_id", "t.*")
+
+
+def shared_rectangle(a, b):
+    """struct(x0, y0, x1, y1) that two rectangles share; null where they share no area."""
+    x0, y0, x1, y1 = F.greatest(a["x0"], b["x0"]), F.greatest(a["y0"], b["y0"]), F.least(a["x1"], b["x1"]), F.least(a["y1"], b["y1"])
+    return F.when((x0 < x1) & (y0 < y1), F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1")))
+
+
+def resume_floor(wanted: DataFrame, path: str, fetch, most: int = 1000) -> int:
+    """Fetch up to `most` of the tiles (tile_id, z, x, y) that path doesn't hold yet, the lowest ids first, and append them
+    there; how many were left. fetch: a function of a DataFrame of tiles to one with what is kept of them. Every call
+    appends whole or not at all, so a run that was cut off goes on where it stopped."""
+    spark = wanted.sparkSession
+    store = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if store.getFileSystem(spark._jsc.hadoopConfiguration()).exists(store):
+        wanted = wanted.join(spark.read.parquet(path).select("tile_id"), "tile_id", "left_anti")
+    left = wanted.count()
+    if left:
+        fetch(wanted.orderBy("tile_id").limit(most)).write.mode("append").parquet(path)
+    return max(0, left - most)
+
+
+def clear_floor(spark, path: str) -> None:
+    """Forget what was fetched: a new build begins anew."""
+    from geostride.session import delete_path
+
+    delete_path(spark, path)

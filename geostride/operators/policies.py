@@ -102,6 +102,52 @@ def survey_step(s: dict | None, r: Row) -> tuple[dict, dict]:
     return s, {"why": "locate"}
 
 
+def scan_step(s: dict | None, r: Row) -> tuple[dict, dict]:
+    """Scans from their start to what they teach. r: a fix (ms, status, mode, hdop, speed_kmh, lat, lon), scan_done
+    (whether the scan under way has finished with this row), and est_lat, est_lon, est_acc (where a finished scan to locate
+    has told a place).
+
+    A scan under way keeps others from starting; one that takes longer than TIMEOUT_S is abandoned. A scan to learn counts
+    only if the fix is still fine and has moved no further than the time and MOST_KMH allow. A told place is good for
+    STALE_S. Gives event (learn, locate: begun; learned, discarded, located, nothing, abandoned: ended; none) and
+    the place in force."""
+    from geostride.operators.wifi import MOST_KMH, SLACK_M, STALE_S, TIMEOUT_S
+
+    s = s or {"survey": None, "scan": None, "est": None}
+    event, scan = "none", s["scan"]
+    if scan is None:
+        s["survey"], out = survey_step(s["survey"], r)
+        if out["why"] != "none":
+            event = out["why"]
+            s["scan"] = {"why": event, "ms": r["ms"], "lat": r["lat"], "lon": r["lon"]}
+    elif not r["scan_done"]:
+        if r["ms"] - scan["ms"] > TIMEOUT_S * 1000:
+            s["scan"], event = None, "abandoned"
+    else:
+        s["scan"] = None
+        if scan["why"] == "locate":
+            event = "nothing" if r["est_lat"] is None else "located"
+            if event == "located":
+                s["est"] = {"lat": r["est_lat"], "lon": r["est_lon"], "acc": r["est_acc"], "ms": r["ms"]}
+        else:
+            near = _fine(r) and _flat(r["lat"] - scan["lat"], r["lon"] - scan["lon"], r["lat"]) <= MOST_KMH / 3.6 * (r["ms"] - scan["ms"]) / 1000 + SLACK_M
+            event = "learned" if near else "discarded"
+    est = s["est"] if s["est"] and r["ms"] - s["est"]["ms"] <= STALE_S * 1000 else None
+    s["est"] = est
+    return s, {"event": event, "place_lat": est and est["lat"], "place_lon": est and est["lon"], "place_age_ms": est and r["ms"] - est["ms"]}
+
+
+SCAN = "event string, place_lat double, place_lon double, place_age_ms long"
+
+
+def scan_silence(s: dict | None) -> tuple[dict | None, dict]:
+    """What becomes of scan_step's state when a device has been silent for as long as a told place is good: the scan under
+    way is abandoned, and the place is gone."""
+    if s is not None:
+        s = s | {"scan": None, "est": None}
+    return s, {"event": "silent", "place_lat": None, "place_lon": None, "place_age_ms": None}
+
+
 def dim_step(s: dict | None, r: Row) -> tuple[dict, dict]:
     """Whether the screen is dimmed for want of anyone looking. r: also touch_ms, motion_ms, stir_ms (null: never) and
     rate_ms."""

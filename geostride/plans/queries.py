@@ -443,14 +443,14 @@ def style_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH w AS (SELECT event_type, time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS start, arg_max(value, struct_pack(a := ts, b := event_id)) AS last, max(value) AS most, round(avg(value), 6) AS mean FROM events GROUP BY ALL)
-SELECT event_type, start, most, mean, max(most) OVER (PARTITION BY event_type ORDER BY start ROWS UNBOUNDED PRECEDING) AS peak FROM w
+SELECT event_type, start, last, most, mean, max(most) OVER (PARTITION BY event_type ORDER BY start ROWS UNBOUNDED PRECEDING) AS peak FROM w
 """)
 def windowed_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Most and mean of daily windows and the peak since the start (a day: the events are hours apart)."""
+    """Last, most and mean of daily windows and the peak since the start (a day: the events are hours apart)."""
     from geostride.operators.policies import windowed_metrics as metrics
 
     e = table(spark, sf_dir, "events")
-    return metrics(e, "ts", "value", ["event_type"], "1 day").select("event_type", "start", "most", F.round("mean", 6).alias("mean"), "peak")
+    return metrics(e, "ts", "value", ["event_type"], "1 day").select("event_type", "start", "last", "most", F.round("mean", 6).alias("mean"), "peak")
 
 
 @query("""
@@ -544,4 +544,4 @@ def labels_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("view"), (k % 4).cast("int").alias("slot"), k.cast("int").alias("ord"), F.element_at(F.array(*map(F.lit, ("country", "region", "locality", "hood", "poi"))), (k % 5 + 1).cast("int")).alias("style"), (k * 137 % 1280).cast("int").alias("sx"), (k * 71 % 720).cast("int").alias("sy"), (60 + k % 90).cast("int").alias("width_px"), F.lit(20).alias("height_px"), F.col("s_name").alias("text"))
     return places.place_labels(s)
 
-from geostride.plans import decoding, devices  # noqa: E402, F401  register their queries
+from geostride.plans import decoding, devices, keeping  # noqa: E402, F401  register their queries

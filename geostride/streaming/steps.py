@@ -9,6 +9,7 @@ from geostride.functions.nmea import LEAST_FIELDS, MAX_FIELDS, MAX_LINE, TALKERS
 from geostride.operators import trust as T
 
 Row = dict[str, Any]
+CONS = "cons array<struct<visible:int,best_snr:int,worst_snr:int>>"
 FIX = "status string, utc string, date string, lat double, lon double, course double, speed_kmh double, sats int, hdop double, altitude double, mode int"
 
 
@@ -36,7 +37,7 @@ def _degrees(value: str, side: str) -> float:
 
 
 def fix_step(s: dict | None, r: Row) -> tuple[dict, dict]:
-    """r: line. The state after a sentence, constellations included (not among the columns)."""
+    """r: line. The state after a sentence; among what is given cons too, the constellations met so far (CONS)."""
     s = s or {"status": "V", "utc": "", "date": "", "lat": 0.0, "lon": 0.0, "course": 0.0, "speed_kmh": 0.0, "sats": 0, "hdop": 99.99, "altitude": 0.0, "mode": 0, "cons": {}}
     line = (r["line"] or "").replace("\r", "").replace("\n", "")[:MAX_LINE]
     if line.startswith("$"):
@@ -63,7 +64,8 @@ def fix_step(s: dict | None, r: Row) -> tuple[dict, dict]:
                     if snr > 0:
                         con["best_snr"] = max(con["best_snr"], snr)
                         con["worst_snr"] = min(con["worst_snr"] or snr, snr)
-    return s, {n.split()[0]: s[n.split()[0]] for n in FIX.split(", ")}
+    added = {n.split()[0]: s[n.split()[0]] for n in FIX.split(", ")}
+    return s, added | {"cons": [s["cons"][k] for k in sorted(s["cons"])]}
 
 
 def trust_step(s: dict | None, r: Row) -> tuple[dict, dict]:
@@ -107,3 +109,16 @@ def trust_step(s: dict | None, r: Row) -> tuple[dict, dict]:
         s["level"] = ("OK", "ODD")[len(s["held"])] if len(s["held"]) < 2 else "BAD"
     held = sorted(s["held"])
     return s, {"flags": sum(1 << k for k in held), "level": s["level"], "text": ", ".join(T.FLAGS[k] for k in held)[:63]}
+
+
+TRUST = "flags int, level string, text string"
+
+
+def sentence_trust_step(s: dict | None, r: Row) -> tuple[dict, dict]:
+    """r: line, ts (seconds), and what trust_step takes besides a fix. From sentences to fixes to trust in one state: the
+    checks are made once for each new position sentence, and hold in between."""
+    s = s or {"fix": None, "trust": None, "last": {"flags": 0, "level": "UNKNOWN", "text": ""}}
+    s["fix"], fix = fix_step(s["fix"], r)
+    if (r["line"] or "")[3:6] == "RMC":
+        s["trust"], s["last"] = trust_step(s["trust"], r | fix)
+    return s, {k: fix[k] for k in (n.split()[0] for n in FIX.split(", "))} | s["last"]

@@ -391,3 +391,20 @@ def test_raster(spark):
     out = raster.render(spark.createDataFrame([part], "z int, x long, y long, layer string, style string, geom string, feature_index int, part_index int, pts array<struct<x:int,y:int>>, extent int, error string"), 16).first()
     px = np.frombuffer(out.pixels, "<u2").reshape(16, 16)
     assert px[3, 3] == raster.pack565(np.array([160, 200, 225])) and px[12, 12] == raster.pack565(np.array([228, 226, 220]))
+
+
+def test_floor_goes_on_where_it_stopped(spark, tmp_path):
+    floor = coverage.world_floor(spark, 2)
+    path = f"file://{tmp_path}/floor"
+    fetched = lambda tiles: tiles.withColumn("payload", F.concat(F.lit("t"), F.col("tile_id").cast("string")))
+    assert coverage.resume_floor(floor, path, fetched, 8) == 13 and coverage.resume_floor(floor, path, fetched, 8) == 5
+
+    def broken(tiles):
+        raise OSError("no network")
+
+    with pytest.raises(OSError):
+        coverage.resume_floor(floor, path, broken, 8)
+    assert coverage.resume_floor(floor, path, fetched, 8) == 0 and coverage.resume_floor(floor, path, fetched, 8) == 0
+    assert sorted(r.tile_id for r in spark.read.parquet(path).collect()) == list(range(21))
+    coverage.clear_floor(spark, path)
+    assert coverage.resume_floor(floor, path, fetched, 30) == 0
