@@ -79,7 +79,19 @@ def length_partition(n: Column, least: float) -> Column:
     return F.floor(F.log(n.cast("double")) / F.lit(-math.log(least))).cast("int")
 
 
-def fingerprint_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8) -> DataFrame:
+#: Likeness from which two texts count as copies of each other.
+ALIKE = 0.8
+
+
+def alike(a: Column, b: Column, least: float = ALIKE) -> Column:
+    """Whether two sets have a likeness of `least` or more. Sets whose lengths lie in partitions that don't adjoin are
+    apart without more; of the others only those are intersected whose lengths allow it."""
+    adjoin = F.abs(length_partition(F.size(a), least) - length_partition(F.size(b), least)) <= 1
+    both = (F.size(a) > 0) & (F.size(b) > 0)
+    return F.when(~both, F.size(a) == F.size(b)).otherwise(adjoin & (pruned_jaccard(a, b, least) >= least))
+
+
+def fingerprint_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = ALIKE) -> DataFrame:
     """Pairs (a, b, likeness) of distinct fingerprints with likeness >= least, a and b the smallest keys of their
     fingerprint. Sets are partitioned by length; within a partition and its neighbour they meet in their rarest
     signatures, as many as two sets this alike can't all miss, and each pair that has met is compared once, through
@@ -151,4 +163,5 @@ def query(spark, sf_dir: str) -> DataFrame:
     return rows.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_hex(F.col("sigs")).alias("fingerprint"), as_hex(F.col("edited_sigs")).alias("edited_fingerprint"),
         pruned_jaccard(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), pruned_jaccard(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
+        alike(F.col("sigs"), F.col("edited_sigs")).alias("alike_edited"), alike(F.col("sigs"), F.col("next_sigs")).alias("alike_next"),
     )

@@ -172,6 +172,7 @@ def test_fingerprints_equal_a_plain_version(spark, tmp_path):
         edited = t[: n - n // 2] + after[: n // 2]
         assert rows[k].n_chars == n and rows[k].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert rows[k].near_edited == pytest.approx(like(chains(t), chains(edited))) and rows[k].near_next == pytest.approx(like(chains(t), chains(after)))
+        assert rows[k].alike_edited == (like(chains(t), chains(edited)) >= 0.8) and rows[k].alike_next == (like(chains(t), chains(after)) >= 0.8)
     assert rows[17].fingerprint == rows[18].fingerprint != rows[19].edited_fingerprint
     assert spotsigs.query(spark, empty(spark, tmp_path / "none")).count() == 0
 
