@@ -16,10 +16,11 @@ FIELDS = ("status", "utc", "date", "lat", "lon", "course", "speed_kmh", "sats",
 
 def parsed(lines: DataFrame, line: str = "line", verify_checksum: bool = False) -> DataFrame:
     """The lines that are sentences with the fields that each one sets (null where it sets none)."""
-    rows = lines.withColumn("_s", nmea.sentence(F.col(line))).filter("_s is not null")
+    rows = lines.filter(F.startswith(line, F.lit("$")))
     if verify_checksum:
         rows = rows.filter(nmea.checksum_ok(F.col(line)))
-    rows = rows.withColumn("talker", F.col("_s.talker")).withColumn("type", F.col("_s.type")).withColumn("f", F.col("_s.f")).withColumn("n", F.col("_s.n"))
+    # talker and type come from the line itself: a filter on them parts no line into fields
+    rows = rows.withColumn("talker", F.substring(line, 2, 2)).withColumn("type", F.substring(line, 4, 3)).withColumn("f", nmea.fields(F.col(line))).withColumn("n", F.size("f"))
     f = lambda k: F.get("f", F.lit(k))
     is_ = lambda t: (F.col("type") == t) & (F.col("n") >= nmea.LEAST_FIELDS[t])
     status = F.when(is_("RMC"), F.when(f(2) == "", "V").otherwise(F.substring(f(2), 1, 1)))
@@ -32,7 +33,7 @@ def parsed(lines: DataFrame, line: str = "line", verify_checksum: bool = False)
     }
     for name, value in sets.items():
         rows = rows.withColumn(name, value)
-    return rows.drop("_s")
+    return rows
 
 
 def fixes(lines: DataFrame, device: str = "device", seq: str = "seq", line: str = "line", mode_policy: str = "compat", verify_checksum: bool = False) -> DataFrame:
@@ -55,17 +56,21 @@ def constellations(lines: DataFrame, device: str = "device", seq: str = "seq", l
     """(device, con, group_no, seq, visible, best_snr, worst_snr) after each visibility sentence: a message 1 starts a
     new group; best and worst are over the tracked satellites of the group so far; 0 means none."""
     f = lambda k: F.get("f", F.lit(k))
-    rows = parsed(lines, line).filter("type = 'GSV' and n >= 4").withColumn("con", nmea.constellation(F.col("talker"))).filter("con >= 0")
+    rows = parsed(lines, line).filter(F.col("type") == "GSV").withColumn("con", nmea.constellation(F.col("talker"))).filter("con >= 0")
     # a sentence has up to five signals, in fields 7, 11, ..
-    for k in range(7, nmea.MAX_FIELDS, 4):
-        rows = rows.withColumn(f"_{k}", F.when(F.col("n") > k, nmea.as_int(f(k)))).withColumn(f"_{k}", F.when(F.col(f"_{k}") > 0, F.col(f"_{k}")))
-    signals = [F.col(f"_{k}") for k in range(7, nmea.MAX_FIELDS, 4)]
-    rows = rows.withColumn("_best", F.greatest(*signals)).withColumn("_worst", F.least(*signals)).withColumn("visible", nmea.as_int(f(3)))
+    whole = F.col("n") >= nmea.LEAST_FIELDS["GSV"]
+    signal = lambda k: F.when(F.col("n") > k, nmea.as_int(f(k)))
+    places = range(7, nmea.MAX_FIELDS, 4)
+    rows = rows.select(device, "con", seq, whole.alias("_whole"), F.when(whole, nmea.as_int(f(2))).alias("_message"), nmea.as_int(f(3)).alias("visible"), *(signal(k).alias(f"_{k}") for k in places))
+    signals = [F.when(F.col("_whole") & (F.col(f"_{k}") > 0), F.col(f"_{k}")) for k in places]
+    rows = rows.withColumn("_best", F.greatest(*signals)).withColumn("_worst", F.least(*signals))
     w = Window.partitionBy(device, "con").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("group_no", F.sum(F.when(nmea.as_int(f(2)) == 1, 1).otherwise(0)).over(w))
+    rows = rows.withColumn("group_no", F.sum(F.when(F.col("_message") == 1, 1).otherwise(0)).over(w))
     g = Window.partitionBy(device, "con", "group_no").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
     best, worst = F.max("_best").over(g), F.min("_worst").over(g)
-    return rows.select(device, "con", "group_no", seq, "visible", F.coalesce(best, F.lit(0)).alias("best_snr"), F.coalesce(worst, F.lit(0)).alias("worst_snr"))
+    # cut sentences add nothing above; they go last, as a filter before would part every line once more
+    rows = rows.withColumn("best_snr", F.coalesce(best, F.lit(0))).withColumn("worst_snr", F.coalesce(worst, F.lit(0))).filter("_whole")
+    return rows.select(device, "con", "group_no", seq, "visible", "best_snr", "worst_snr")
 
 
 def first_fix_times(fix_rows: DataFrame, device: str = "device", ts: str = "ts") -> DataFrame:
