@@ -40,7 +40,7 @@ STRICT = {
 }
 #: Looser forms that only the trees decide, by the kind they count as.
 LOOSE = {
-    "email": r"((?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[({] ?(?:at|AT) ?[\])}] ?[A-Za-z0-9-]{1,64}+ ?(?:\.|[\[({] ?(?:dot|DOT) ?[\])}]) ?[A-Za-z]{2,12}+)",
+    "email": r"((?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[({] ?(?:at|AT) ?[\])}] ?(?:[A-Za-z0-9-]{1,64}+(?:\.| ?[\[({] ?(?:dot|DOT) ?[\])}] ?)){1,4}[A-Za-z]{2,12}+)",
     "phone": r"((?<![0-9A-Za-z+(.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]))",
     "card": r"((?<![0-9A-Za-z.])[0-9]{4}[. -][0-9]{4,6}[. -][0-9]{4,5}(?:[. -][0-9]{1,4})?(?![0-9A-Za-z]))",
     "ip": r"((?<![0-9A-Za-z:])(?:[0-9a-fA-F]{1,4}:){3,7}[0-9a-fA-F]{1,4}(?![0-9A-Za-z:]))",
@@ -152,7 +152,7 @@ def example_form(r: random.Random, kind: int, personal: bool) -> str:
         if not personal:
             return f"{r.choice(('see', 'f', 'row', 'item', 'g', 'up'))}{r.choice((' (at) ', '[at]', ' [at] ', '(at)'))}{r.choice(('x', 'n', 'point', 'page', 'idx'))}{digits(r.choice((0, 1, 2)))}.{r.choice(('left', 'right', 'py', 'max', 'size'))}"
         name = "".join(r.choice("abcdefghijklmnoprstuvwz") for _ in range(r.randint(3, 9))) + r.choice(("", "", ".doe", digits(2), "_x"))
-        return f"{name}{r.choice(('[at]', ' [at] ', ' (at) ', '(at)', '{at}'))}{r.choice(('mail', 'example', 'post', 'my-web', 'inbox'))}{digits(r.choice((0, 0, 1)))}{r.choice(('.', '.', ' [dot] ', '(dot)'))}{r.choice(('com', 'org', 'de', 'net'))}"
+        return f"{name}{r.choice(('[at]', ' [at] ', ' (at) ', '(at)', '{at}'))}{r.choice(('mail', 'example', 'post', 'my-web', 'inbox'))}{digits(r.choice((0, 0, 1)))}{r.choice(('', '', '.example'))}{r.choice(('.', '.', ' [dot] ', '(dot)'))}{r.choice(('com', 'org', 'de', 'net'))}"
     if kind == 1:
         return ":".join(f"{r.randrange(65536):x}" for _ in range(8)) if personal else ":".join(digits(2) for _ in range(r.choice((4, 5, 6))))
     if kind == 2:
