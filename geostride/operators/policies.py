@@ -21,6 +21,7 @@ MOVING_KMH, SLOW_KMH, SETTLE_MS = 12.0, 4.0, 10_000
 ZOOM_HOLD_MS, WIDE_KMH, CLOSE_KMH = 8000, 25.0, 15.0
 DIM_MS, HAND_MS, ANCHOR_MOVE_M, STIR_MS, ANCHOR_MS = 120_000, 15_000, 25.0, 60_000, 30_000
 FLIP_MS = 30_000
+LOG_MS, FRESH_MS = 1000, 300
 
 
 def _fine(r: Row) -> bool:
@@ -148,6 +149,21 @@ def scan_silence(s: dict | None) -> tuple[dict | None, dict]:
     return s, {"event": "silent", "place_lat": None, "place_lon": None, "place_age_ms": None}
 
 
+def log_step(s: dict | None, r: Row) -> tuple[dict, dict]:
+    """The magnetometer's log as rows arrive. r: kind (fix or sample), ms; of a fix status, mode, hdop, speed_kmh; of a
+    sample seq and calibrating. A fix with a usable course writes a line (logged: the sample's seq) if the latest sample is
+    one that no line has had, is fresh, and was taken outside a calibration, and the last line is a second old."""
+    s = s or {"sample": None, "used": None, "line": None}
+    if r["kind"] == "sample":
+        s["sample"] = None if r["calibrating"] else (r["seq"], r["ms"])
+        return s, {"logged": None}
+    usable = _fine(r) and r["speed_kmh"] >= 8.0 and (s["line"] is None or r["ms"] - s["line"] >= LOG_MS)
+    if not usable or s["sample"] is None or s["sample"][0] == s["used"] or r["ms"] - s["sample"][1] > FRESH_MS:
+        return s, {"logged": None}
+    s["used"], s["line"] = s["sample"][0], r["ms"]
+    return s, {"logged": s["used"]}
+
+
 def dim_step(s: dict | None, r: Row) -> tuple[dict, dict]:
     """Whether the screen is dimmed for want of anyone looking. r: also touch_ms, motion_ms, stir_ms (null: never) and
     rate_ms."""

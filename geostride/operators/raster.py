@@ -5,7 +5,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from geostride.operators.places import DRAW_ORDER, PALETTE, STROKES
 from geostride.session import ship
@@ -87,6 +88,25 @@ def paint(parts: pd.DataFrame, size: int, dark: bool = False) -> np.ndarray:
     return pack565(np.rint(canvas))
 
 
+def is_painted(style: Column, geom: Column) -> Column:
+    """Whether a part of this style and geometry leaves any paint: fills take polygons, strokes take lines, and no style
+    of a point has a fill."""
+    stroke = style.isin(*STROKES)
+    return F.coalesce(style.isin(*PALETTE) & (((geom == "polygon") & ~stroke) | ((geom == "line") & stroke)), F.lit(False))
+
+
+def backdrop(land: list[np.ndarray], lakes: list[np.ndarray], size: int) -> np.ndarray:
+    """0 sea, 1 land, 2 lake: land by the even-odd rule over all its rings, then lakes over it."""
+    out = (coverage(land, size, "evenodd") >= 0.5).astype(np.uint8)
+    out[coverage(lakes, size, "evenodd") >= 0.5] = 2
+    return out
+
+
+def diamond(x: float, y: float, radius: float) -> np.ndarray:
+    """The ring of a point."""
+    return np.array([(x, y - radius), (x + radius, y), (x, y + radius), (x - radius, y)], float)
+
+
 def upscaled(pixels: np.ndarray, factor: int, qx: int, qy: int) -> np.ndarray:
     """The part (qx, qy) of a tile drawn `factor` times as large, by nearest pixels."""
     n = len(pixels) // factor

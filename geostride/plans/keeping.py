@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geostride.functions import compass, geo, scalars, sun, tiles
-from geostride.operators import archive, coverage, magnet, places, rings, waypoints, wifi
+from geostride.operators import archive, coverage, magnet, places, policies, raster, rings, state, waypoints, wifi
 from geostride.plans.queries import HEADS_SQL, SQUARE_SQL, _square, heads, observations
 from geostride.plans.registry import query
 from geostride.plans.surrogates import CUSTOMERS_SQL, EVENTS_SQL, FX, FY, HILBERT, SEQ_SQL, customers, events, line_seq
 from geostride.session import fresh_path, table
+from geostride.sources import bytes as raw
 from geostride.sources import tables
 
 r6 = lambda c: F.round(c, 6)
@@ -332,3 +333,94 @@ def local_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = o.select((F.lit(21845) + F.col("o_custkey") * 13 % 65000).alias("tile_id"), F.when(F.col("o_custkey") % 3 == 0, 0).otherwise(77).alias("length")).distinct()
     none = o.limit(0).select(F.lit("").alias("path"), F.col("o_orderkey").alias("tile_id"), F.lit(1).alias("run_length"), F.col("o_orderkey").alias("offset"), F.lit(1).cast("long").alias("length"))
     return archive.resolve(_square(spark, sf_dir), c, heads(spark, sf_dir), none).select("z", "x", "y", "source")
+
+
+@query("""WITH t AS (SELECT p_partkey * 3 AS tile_id, CASE WHEN p_partkey % 4 <> 0 THEN length(p_name) ELSE 0 END AS length FROM part WHERE p_partkey % 3 <> 0), q AS (SELECT DISTINCT l_partkey * 3 AS tile_id FROM lineitem)
+SELECT tile_id, CASE WHEN length IS NULL OR length > 9 THEN 'miss' WHEN length = 0 THEN 'empty' ELSE 'hit' END AS found FROM q LEFT JOIN t USING (tile_id)""")
+def cached_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Asked tiles in the cache of the build in use: filled in two steps that overlap, an older build dropped."""
+    path = fresh_path(spark, "tilecache")
+    k = F.col("p_partkey")
+    tiles_ = table(spark, sf_dir, "part").select((k * 3).alias("tile_id"), F.when(k % 4 != 0, F.col("p_name").cast("binary")).alias("payload"), k.alias("k"))
+    state.put_cache(tiles_.filter("k % 3 = 0").drop("k"), path, "20240101")
+    state.put_cache(tiles_.filter("k % 3 = 1").drop("k"), path, "20240201")
+    state.put_cache(tiles_.filter("k % 3 > 0").drop("k"), path, "20240201")
+    state.save_manifest(spark, f"{path}-manifest", "20240201", 19_754)
+    state.save_cursor(spark, f"{path}-cursor", "20240101", 3, 1, 2)
+    build, _ = state.load_manifest(spark, f"{path}-manifest")
+    if state.load_cursor(spark, f"{path}-cursor", build) is None:  # of another build
+        state.clear_cursor(spark, f"{path}-cursor")
+    state.roll_over(spark, path, build)
+    asked = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") * 3).alias("tile_id")).distinct()
+    return state.lookups(asked, state.open_cache(spark, path, build), 9).select("tile_id", "found")
+
+
+@query("""WITH t AS (SELECT o_custkey * 2 AS tile_id, max(o_orderkey % 5) AS length FROM orders GROUP BY o_custkey), q AS (SELECT l_partkey AS tile_id FROM lineitem)
+SELECT (SELECT count(*) FROM q JOIN t USING (tile_id)) AS hits, (SELECT count(*) FROM q WHERE tile_id NOT IN (SELECT tile_id FROM t)) AS misses, (SELECT count(*) FROM t) AS entries, CAST((SELECT sum(length) FROM t) AS BIGINT) AS bytes""")
+def cache_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits, misses, entries and bytes of a cache."""
+    cache = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") * 2).alias("tile_id")).agg(F.max(F.col("o_orderkey") % 5).alias("length"))
+    asked = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("tile_id"))
+    return state.cache_counters(state.lookups(asked, cache), cache)
+
+
+@query("SELECT CAST(n_nationkey AS INTEGER) AS id, CAST(n_nationkey * 50 AS DOUBLE) AS ox, 0.5::DOUBLE + n_regionkey AS gx, CAST(n_nationkey % 130 AS INTEGER) AS fit_n, n_nationkey % 2 = 0 AS fitted FROM nation WHERE n_nationkey * 50 < 1000 AND n_nationkey % 7 <> 3")
+def saved_calibrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrations written as files and read back: those with implausible numbers, or cut short, are left out."""
+    folder = fresh_path(spark, "calibrations")
+    store, inner = raw.filesystem(folder)
+    store.create_dir(inner, recursive=True)
+    for n, r in table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").collect():  # 25 rows
+        body = tables.pack_calibration((n * 50.0, 0.0, 0.0), (0.5 + r, 1.0, 1.0), 0.1, n % 2 == 0, points=((1.0, 2.0, 3.0),) * (n % 130))
+        with store.open_output_stream(f"{inner}/{n:03d}.cal") as out:
+            out.write(body[:-1] if n % 7 == 3 else body)
+    return tables.read_calibrations(spark, folder).select(F.regexp_extract("path", "([0-9]+)[.]cal$", 1).cast("int").alias("id"), "ox", "gx", "fit_n", "fitted")
+
+
+@query(f"""
+WITH RECURSIVE e AS ({EVENTS_SQL}), k AS (SELECT device, seq, us // 1000 AS ms, event_type <> 'click' AS is_fix, status = 'A' AND mode = 3 AND hdop > 0 AND hdop < 2.5 AND speed_kmh >= 8 AS usable, seq % 5 = 0 AS calibrating FROM e),
+r AS (SELECT *, row_number() OVER (PARTITION BY device ORDER BY ms) AS rn FROM k),
+s AS (SELECT DISTINCT device, 0::BIGINT AS rn, 0::BIGINT AS seq, NULL::BIGINT AS sample, NULL::BIGINT AS used, NULL::BIGINT AS logged FROM k
+  UNION ALL SELECT r.device, r.rn, r.seq, CASE WHEN r.is_fix THEN s.sample WHEN r.calibrating THEN NULL ELSE r.seq END,
+    CASE WHEN r.is_fix AND r.usable AND s.sample IS NOT NULL AND s.sample IS DISTINCT FROM s.used THEN s.sample ELSE s.used END,
+    CASE WHEN r.is_fix AND r.usable AND s.sample IS NOT NULL AND s.sample IS DISTINCT FROM s.used THEN s.sample END FROM s JOIN r ON r.device = s.device AND r.rn = s.rn + 1)
+SELECT device, seq, logged FROM s WHERE logged IS NOT NULL""")
+def log_as_it_comes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log folded over fixes and samples (clicks) as they arrive, none during a calibration; any age and pace, since the
+    events are hours apart."""
+    e = events(spark, sf_dir).withColumn("ms", F.floor(F.col("us") / 1000))
+    rows = e.select("device", "seq", "ms", F.when(F.col("event_type") == "click", "sample").otherwise("fix").alias("kind"), "status", "mode", "hdop", "speed_kmh", (F.col("seq") % 5 == 0).alias("calibrating"))
+
+    def step(s, r):
+        # an hour counts as a millisecond: every sample is fresh
+        return policies.log_step(s and s | {"line": None, "sample": s["sample"] and (s["sample"][0], r["ms"])}, r)
+
+    return policies.run_policy(rows, step, "logged long").filter("logged is not null").select("device", "seq", "logged")
+
+
+_HELD = "seq * 137 % 3000 - 700"
+
+
+@query(f"WITH e AS ({EVENTS_SQL}), p AS (SELECT device, seq, {_HELD} AS sx, seq * 71 % 1500 - 300 AS sy FROM e), v AS (SELECT *, row_number() OVER (PARTITION BY device ORDER BY seq) AS k FROM p WHERE sx BETWEEN -60 AND 1340 AND sy BETWEEN -60 AND 780) SELECT device, seq FROM v WHERE k <= 16")
+def pins_in_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pins near the screen, the first sixteen of each device."""
+    s = F.col("seq")
+    p = events(spark, sf_dir).select("device", "seq", (s * 137 % 3000 - 700).alias("sx"), (s * 71 % 1500 - 300).alias("sy"))
+    return places.first_of(p.filter(places.pin_visible(F.col("sx"), F.col("sy"))), ["device"], ["seq"], 16).select("device", "seq")
+
+
+@query("""WITH p AS (SELECT p_partkey AS id, ['water','major','path','poi','none','building'][CAST(p_partkey % 6 AS BIGINT) + 1] AS style, ['polygon','line','point'][CAST(p_partkey // 6 % 3 AS BIGINT) + 1] AS geom FROM part)
+SELECT id, (style IN ('water', 'building', 'poi') AND geom = 'polygon') OR (style IN ('major', 'path') AND geom = 'line') AS painted FROM p""")
+def painted_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which parts leave paint."""
+    k = F.col("p_partkey")
+    pick = lambda names, at: F.element_at(F.array(*map(F.lit, names)), at.cast("int") + 1)
+    style, geom = pick(("water", "major", "path", "poi", "none", "building"), k % 6), pick(("polygon", "line", "point"), F.floor(k / 6) % 3)
+    return table(spark, sf_dir, "part").select(k.alias("id"), raster.is_painted(style, geom).alias("painted"))
+
+
+@query(f"""WITH m AS (SELECT id, CAST(floor({FX.format(n=4096)}) AS BIGINT) AS cx, CAST(floor({FY.format(n=4096)}) AS BIGINT) AS cy FROM ({CUSTOMERS_SQL}))
+SELECT DISTINCT 12 AS z, (cx + dx + 4096) % 4096 AS x, cy + dy AS y FROM m, range(-1, 2) a(dx), range(-1, 2) b(dy) WHERE cy + dy BETWEEN 0 AND 4095""")
+def place_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nine tiles around each customer whose places are looked at."""
+    return coverage.square_around(customers(spark, sf_dir), 12, radius=1)

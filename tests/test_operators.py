@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from geostride.operators import archive, coverage, gnss, magnet, places, policies, raster, rings, trust, waypoints, wifi
+from geostride.operators import archive, coverage, gnss, magnet, places, policies, raster, rings, state, trust, waypoints, wifi
 from geostride.streaming.fold import batch_fold
 from geostride.streaming.steps import fix_step, trust_step
 
@@ -408,3 +408,30 @@ def test_floor_goes_on_where_it_stopped(spark, tmp_path):
     assert sorted(r.tile_id for r in spark.read.parquet(path).collect()) == list(range(21))
     coverage.clear_floor(spark, path)
     assert coverage.resume_floor(floor, path, fetched, 30) == 0
+
+
+def test_backdrops_and_points():
+    square = lambda a, b: np.array([(a, a), (b, a), (b, b), (a, b)], float)
+    world = raster.backdrop([square(2, 14), square(6, 10)], [square(3, 5)], 16)
+    assert world[0, 0] == 0 and world[12, 12] == 1 and world[8, 8] == 0 and world[4, 4] == 2  # two rings of land even out
+    dot = raster.coverage([raster.diamond(8, 8, 4)], 16)
+    assert dot[8, 8] == 1 and dot[4, 4] == 0 and 28 < dot.sum() < 36
+
+
+def test_state_of_a_build(spark, tmp_path):
+    path = f"file://{tmp_path}/m"
+    assert state.load_manifest(spark, path) is None and state.load_cursor(spark, path, "20240101") is None
+    state.save_manifest(spark, path, "20240101", 19723)
+    assert state.load_manifest(spark, path) == ("20240101", 19723)
+    state.save_manifest(spark, path, "short", 1)
+    assert state.load_manifest(spark, path) is None
+    state.save_cursor(spark, path, "20240101", 5, 6, 7)
+    assert state.load_cursor(spark, path, "20240101") == (5, 6, 7) and state.load_cursor(spark, path, "20240202") is None
+    state.clear_cursor(spark, path)
+    assert state.load_cursor(spark, path, "20240101") is None
+
+
+def test_log_waits_for_calibrations_and_a_second():
+    rows = [("sample", 900, 1, False), ("fix", 1000, 0, False), ("fix", 1100, 0, False), ("sample", 1900, 2, False), ("fix", 1950, 0, False), ("fix", 2100, 0, False), ("sample", 3200, 3, True), ("fix", 3300, 0, False), ("sample", 4000, 4, False), ("fix", 4400, 0, False), ("fix", 4250, 0, False)]
+    frame = pd.DataFrame([("d", k, kind, ms, "A", 3, 1.0, 20.0, seq, cal) for k, (kind, ms, seq, cal) in enumerate(rows)], columns=["device", "k", "kind", "ms", "status", "mode", "hdop", "speed_kmh", "seq", "calibrating"])
+    assert [r["logged"] for r in batch_fold(frame, policies.log_step, order="k")] == [None, 1, None, None, None, 2, None, None, None, None, 4]
