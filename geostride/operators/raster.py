@@ -22,7 +22,8 @@ def coverage(rings: list[np.ndarray], size: int, rule: str = "nonzero") -> np.nd
     up = edges[:, 3] > edges[:, 1]
     x0, y0, x1, y1 = np.where(up[:, None], edges, edges[:, [2, 3, 0, 1]]).T if len(edges) else np.zeros((4, 0))
     turn = np.where(up, 1, -1)
-    for k in range(size * SUB):
+    low, high = (float(y0.min()), float(y1.max())) if len(y0) else (0.0, 0.0)
+    for k in range(max(0, int(low * SUB) - 1), min(size * SUB, int(high * SUB) + 2)):
         y = (k + 0.5) / SUB
         hit = (y0 <= y) & (y < y1)
         if not hit.any():
@@ -71,7 +72,10 @@ def paint(parts: pd.DataFrame, size: int, dark: bool = False) -> np.ndarray:
     canvas[:] = (18, 20, 24) if dark else (228, 226, 220)
     k = max(1, size // 256)
     for layer in DRAW_ORDER:
-        own = parts[parts["layer"] == layer].sort_values(["feature_index", "part_index"])
+        own = parts[parts["layer"] == layer]
+        if own.empty:
+            continue
+        own = own.sort_values(["feature_index", "part_index"])
         for _, feature in own.groupby("feature_index", sort=True):
             style, geom = feature["style"].iloc[0], feature["geom"].iloc[0]
             if style not in PALETTE or geom == "point":

@@ -6,12 +6,13 @@ from __future__ import annotations
 import gzip
 import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geostride.operators import archive as archives
-from geostride.operators import places
+from geostride.operators import places, raster
 from geostride.plans import encode
 from geostride.plans.registry import query
 from geostride.session import fresh_path, ship, table
@@ -228,3 +229,20 @@ def binary_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     wrong = F.when(F.col("id") % 9 == 0, (F.col("k.a") + 1) % 256).otherwise(F.col("k.a"))
     streams = p.select("id", F.unhex(F.concat(F.lit("00B500"), F.lit("B562"), F.col("body"), byte(wrong), byte(F.col("k.k")), F.lit("2447"))).alias("content"))
     return mvt.ubx_frames(streams).select("id", "frame_class", "frame_id", F.col("payload").cast("string").alias("text"), "checksum_ok")
+
+
+@query("""SELECT s_suppkey AS id, CAST((1 + s_suppkey % 20) * (1 + s_suppkey % 13) AS INTEGER) AS water, CAST(4 * (1 + s_suppkey % 30) AS INTEGER) AS road, CAST(1024 - (1 + s_suppkey % 20) * (1 + s_suppkey % 13) - 6 * (1 + s_suppkey % 30) AS INTEGER) AS bare FROM supplier""")
+def rendered_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of tiles with a pond and a road each, on whole pixels: pure water, pure road (its rim is blended), and bare."""
+    k = F.col("s_suppkey")
+    px = 128  # a pixel in tile units
+    at = lambda x, y: F.struct(x.cast("int").alias("x"), F.lit(y).cast("int").alias("y") if isinstance(y, int) else y.cast("int").alias("y"))
+    right, low = (5 + 1 + k % 20) * px, (5 + 1 + k % 13) * px
+    pond = F.struct(F.lit("water").alias("layer"), F.lit("water").alias("style"), F.lit("polygon").alias("geom"), F.array(at(F.lit(5 * px), 5 * px), at(right, 5 * px), at(right, low), at(F.lit(5 * px), low), at(F.lit(5 * px), 5 * px)).alias("pts"))
+    road = F.struct(F.lit("roads").alias("layer"), F.lit("major").alias("style"), F.lit("line").alias("geom"), F.array(at(F.lit(2 * px), 28 * px), at((2 + 1 + k % 30) * px, 28 * px)).alias("pts"))
+    rows = table(spark, sf_dir, "supplier").select(F.lit(10).alias("z"), k.alias("x"), F.lit(0).cast("long").alias("y"), F.explode(F.array(road, pond)).alias("p"))
+    parts = rows.select("z", "x", "y", "p.*", F.lit(0).alias("feature_index"), F.lit(0).alias("part_index"), F.lit(4096).alias("extent"), F.lit(None).cast("string").alias("error"))
+    drawn = raster.render(parts, 32).withColumn("h", F.regexp_replace(F.hex("pixels"), "(.{4})", ",$1,"))
+    count = lambda c: ((F.length("h") - F.length(F.replace(F.col("h"), F.lit(f",{c},"), F.lit("")))) / 6).cast("int")
+    of = lambda rgb: int(raster.pack565(np.array(rgb))).to_bytes(2, "little").hex().upper()
+    return drawn.select(F.col("x").alias("id"), count(of(places.PALETTE["water"][0])).alias("water"), count(of(places.PALETTE["major"][0])).alias("road"), count(of((228, 226, 220))).alias("bare"))

@@ -424,3 +424,12 @@ SELECT DISTINCT 12 AS z, (cx + dx + 4096) % 4096 AS x, cy + dy AS y FROM m, rang
 def place_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nine tiles around each customer whose places are looked at."""
     return coverage.square_around(customers(spark, sf_dir), 12, radius=1)
+
+
+@query(f"""WITH m AS (SELECT DISTINCT CAST(floor({FX.format(n=64)}) AS BIGINT) AS x, CAST(floor({FY.format(n=64)}) AS BIGINT) AS y FROM ({CUSTOMERS_SQL}))
+SELECT count(DISTINCT x) AS files, round(sum((x + 1) * (y + 1)) / 1000.0::DOUBLE, 6) AS gb FROM m""")
+def band_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files and bytes of bands, a tile column each."""
+    m = customers(spark, sf_dir).withColumn("m", tiles.mercator(F.col("lat"), F.col("lon"), F.lit(6))).select(F.floor("m.fx").alias("x"), F.floor("m.fy").alias("y")).distinct()
+    bands = m.groupBy("x").agg((F.sum((F.col("x") + 1) * (F.col("y") + 1)) / 1000.0).alias("gb"))
+    return rings.band_totals(bands).select("files", F.round("gb", 6).alias("gb"))

@@ -537,11 +537,20 @@ def calibration_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return magnet.fits(v)
 
 
-@query(None)
+@query("""
+WITH RECURSIVE l AS (SELECT s_nationkey AS view, CAST(s_suppkey % 4 AS INTEGER) AS slot, CAST(s_suppkey AS INTEGER) AS ord, CAST(s_suppkey % 5 AS INTEGER) AS rank, s_suppkey * 137 % 1280 AS sx, s_suppkey * 71 % 720 AS sy, 60 + s_suppkey % 90 AS w0 FROM supplier),
+b AS (SELECT *, row_number() OVER (PARTITION BY view ORDER BY rank, slot, ord) AS rn, CAST(sx - w0 // 2 - 5 AS INTEGER) AS x, CAST(CASE WHEN rank = 4 THEN sy - 31 ELSE sy - 13 END AS INTEGER) AS y, CAST(w0 + 10 AS INTEGER) AS w, CAST(CASE WHEN rank = 4 THEN 39 ELSE 26 END AS INTEGER) AS h FROM l),
+f(view, rn, boxes, ok) AS (SELECT DISTINCT view, 0::BIGINT, CAST([] AS STRUCT(x INTEGER, y INTEGER, w INTEGER, h INTEGER)[]), false FROM b
+  UNION ALL SELECT view, rn, CASE WHEN ok THEN list_append(boxes, {'x': x, 'y': y, 'w': w, 'h': h}) ELSE boxes END, ok FROM (
+    SELECT b.view, b.rn, f.boxes, b.x, b.y, b.w, b.h, len(f.boxes) < 40 AND NOT (b.x + b.w < 0 OR b.x > 1280 OR b.y + b.h < 0 OR b.y > 720)
+      AND len(list_filter(f.boxes, lambda o: b.x < o.x + o.w AND o.x < b.x + b.w AND b.y < o.y + o.h AND o.y < b.y + b.h)) = 0 AS ok FROM f JOIN b ON b.view = f.view AND b.rn = f.rn + 1))
+SELECT b.view, ord, x AS left_px, y AS top_px, w AS box_w, h AS box_h FROM f JOIN b USING (view, rn) WHERE ok
+""")
 def labels_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy labels of views (suppliers' nations as views; each label depends on those before it)."""
     k = F.col("s_suppkey")
     s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("view"), (k % 4).cast("int").alias("slot"), k.cast("int").alias("ord"), F.element_at(F.array(*map(F.lit, ("country", "region", "locality", "hood", "poi"))), (k % 5 + 1).cast("int")).alias("style"), (k * 137 % 1280).cast("int").alias("sx"), (k * 71 % 720).cast("int").alias("sy"), (60 + k % 90).cast("int").alias("width_px"), F.lit(20).alias("height_px"), F.col("s_name").alias("text"))
-    return places.place_labels(s)
+    return places.place_labels(s).select("view", "ord", "left_px", "top_px", "box_w", "box_h")
+
 
 from geostride.plans import decoding, devices, keeping  # noqa: E402, F401  register their queries
