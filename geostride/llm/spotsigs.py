@@ -10,7 +10,9 @@ content words: one pass over the words, no nested search.
 Defined cases: null text is empty; a text without letters or digits has the signature of its whole text (none if it is
 empty), so that equal texts have equal fingerprints and a non-empty text has a non-empty one; two empty sets are alike
 (1.0); the text before the first anchor hangs on a virtual anchor at the start; repeated doc_ids keep their rows and
-follow each other in the order of their texts; extra columns pass through `with_fingerprint`.
+follow each other in the order of their texts, null doc_ids first; columns pass through `with_fingerprint` but for those it
+adds (sigs, fingerprint). Rows of one doc_id, and those without any, are one slice of `with_next`: where they are very
+many, they are sorted by one task.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ outside [a-z0-9] or an end, `|` at an end anchors there.
 
 Defined cases: a null url, or one without `://`, has an empty host and an empty path and no rule; repeated urls get the
 same verdict each; an empty table gives an empty result; of several fitting host rules the longest wins, of several
-patterns an allowing one wins; columns of any other name pass through `judge_urls`.
+patterns an allowing one wins; columns pass through `judge_urls`, whatever their names, but for those it adds (host, path,
+rule, verdict, pattern).
 """
 
 from __future__ import annotations
@@ -126,12 +127,15 @@ def judge_urls(urls: DataFrame, url: str = "url", rules: Sequence[Rule] = (*HOST
     canon = F.concat(host, path)
     counts = token_counts(urls, canon, {t for r in rules for t in r.tokens})
     index = index_rules(rules, counts)
-    rows = urls.withColumn("_host", host).withColumn("_path", path).withColumn("_canon", F.concat("_host", "_path"))
+    # a row's own columns travel in a struct, so that their names meet none of this operator's
+    own = F.struct(*(F.col(f"`{c}`") for c in urls.columns)).alias("_row")
+    rows = urls.select(own, host.alias("_host"), path.alias("_path")).withColumn("_canon", F.concat("_host", "_path"))
     if len(rules) <= INLINE_RULES:
         rows = rows.withColumn("_fits", _fits_inline(F.col("_canon"), rules, index))
     else:
         rows = _fits_joined(rows, rules, index)
-    return _decide(rows, default).drop("_host", "_path", "_canon", "_fits", "_best", "_other")
+    added = ("host", "path", "rule", "verdict", "pattern")
+    return _decide(rows, default).select(*(f"_row.`{c}`" for c in urls.columns if c not in added), *added)
 
 
 def _fits_inline(canon: Column, rules: Sequence[Rule], index: dict[str, list[int]]) -> Column:
