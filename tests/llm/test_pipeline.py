@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from geostride.llm import mixing, packing, pii
 
-from .cases import SCHEMA, empty, save
+from geostride.session import materialize
+
+from .cases import SCHEMA, empty, odd_documents, save
 from .test_joins import families, plain_components
 from .test_text_ops import check_packing
 
@@ -57,6 +59,22 @@ def test_run_gives_the_packed_pieces(spark, tmp_path):
     assert corpus_pipeline.run(spark, empty(spark, tmp_path / "none")).count() == 0
 
 
+def test_run_takes_odd_rows(spark, tmp_path):
+    """Nulls in any column, repeated rows and keys, very long texts, and columns of the operators' own names."""
+    odd = odd_documents(spark)
+    odd = odd.union(odd.filter("doc_id in (5, 17)")).union(odd.filter("doc_id in (6, 9)").withColumn("doc_id", F.lit(None).cast("long")))
+    odd = odd.union(spark.createDataFrame([(17, "another text under a key that is there already", None, None, None, None, None)], SCHEMA))
+    path = save(odd.selectExpr("*", "'a' as spans", "'b' as cut", "1 as key", "'c' as lang_pred", "2 as reps"), tmp_path)
+    docs, kept = spark.read.parquet(f"{path}/documents.parquet"), None
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, path), f"odd-{name}")
+        assert docs.columns == list(corpus_pipeline.COLUMNS)
+        kept = docs
+    rows = corpus_pipeline.run(spark, path).collect()
+    check_packing(rows)
+    assert sorted((r.doc_id or -1) for r in rows if r.piece == 0) == sorted((r.doc_id or -1) for r in kept.collect())
+
+
 def test_redaction_keeps_clean_texts(spark):
     docs = spark.createDataFrame([(1, "clean text 12 34"), (2, None), (3, "")], "doc_id long, text string")
     assert sorted(map(tuple, pii.redact(docs).collect()), key=str) == sorted(map(tuple, docs.collect()), key=str)

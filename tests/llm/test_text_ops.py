@@ -173,6 +173,10 @@ def test_fingerprints_equal_a_plain_version(spark, tmp_path):
         assert rows[k].n_chars == n and rows[k].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert rows[k].near_edited == pytest.approx(like(chains(t), chains(edited))) and rows[k].near_next == pytest.approx(like(chains(t), chains(after)))
         assert rows[k].alike_edited == (like(chains(t), chains(edited)) >= 0.8) and rows[k].alike_next == (like(chains(t), chains(after)) >= 0.8)
+    # null doc_ids come first, rows of one doc_id follow each other by text
+    few = spark.createDataFrame([(None, "the b c d"), (None, None), (7, "zz the x y"), (7, "aa the x y"), (3, "the end of it")], "doc_id long, text string")
+    after = {(r.doc_id, r.text): r.next_text for r in spotsigs.with_next(few).collect()}
+    assert after == {(None, None): "the b c d", (None, "the b c d"): "the end of it", (3, "the end of it"): "aa the x y", (7, "aa the x y"): "zz the x y", (7, "zz the x y"): None}
     assert rows[17].fingerprint == rows[18].fingerprint != rows[19].edited_fingerprint
     assert spotsigs.query(spark, empty(spark, tmp_path / "none")).count() == 0
 
@@ -201,6 +205,9 @@ def test_url_filter(spark, tmp_path):
         pages.withColumn("_host", url_filter.canonical(pages.url)[0]).withColumn("_path", url_filter.canonical(pages.url)[1]).selectExpr("*", "concat(_host, _path) _canon"),
         (*url_filter.HOST_RULES, *url_filter.PATTERN_RULES), url_filter.index_rules((*url_filter.HOST_RULES, *url_filter.PATTERN_RULES), {})), "allow").collect()}
     assert joined == {k: (r[3], r[4]) for k, r in mine.items()}
+    clashing = url_filter.judge_urls(pages.selectExpr("*", "1 as _host", "2 as _canon", "3 as _row", "4 as verdict"))
+    assert clashing.columns == ["page_id", "url", "_host", "_canon", "_row", "host", "path", "rule", "verdict", "pattern"]
+    assert {(r.page_id, r["_host"], r["_canon"], r["_row"], r.verdict) for r in clashing.collect()} == {(k, 1, 2, 3, r[4]) for k, r in mine.items()}
     assert url_filter.query(spark, empty(spark, tmp_path / "none", "pages", "page_id long, url string")).count() == 0
 
 
