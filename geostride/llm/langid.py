@@ -38,7 +38,8 @@ FOLD = np.array([b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 el
 
 def flat_bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(bytes of all texts, each with spaces around it; the place where each begins and the end of the last)."""
-    parts = [b"  " + t.lower().encode("utf-8", "replace") + b"   " for t in texts]
+    # three spaces on each side: no subword reaches into the next text
+    parts = [b"   " + t.lower().encode("utf-8", "replace") + b"   " for t in texts]
     return FOLD[np.frombuffer(b"".join(parts), np.uint8)], np.cumsum([0, *map(len, parts)])
 
 
