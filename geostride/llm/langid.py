@@ -82,7 +82,7 @@ class Model:
         total = np.zeros((len(texts), len(self.languages)))
         for grams in subwords(flat):
             for k in range(len(self.languages)):
-                total[:, k] += np.add.reduceat(self.table[:, k][grams], ends[:-1])
+                total[:, k] += np.add.reduceat(self.table[:, k][grams], ends[:-1], dtype=float)
         return total / (2 * np.diff(ends))[:, None]
 
 
