@@ -118,22 +118,40 @@ def hilbert_zxy(tile_id: Column) -> Column:
     return _once(F.struct(sound.alias("id"), zoom_of_id(sound).alias("z")), lambda s: F.when(s["id"].isNotNull(), _walked_back(s["id"], s["z"])))
 
 
+#: Every second bit of a long; and the steps that part the bits at even places from those at odd ones.
+EVEN = 0x5555555555555555
+UNSHUFFLE = ((1, 0x2222222222222222), (2, 0x0C0C0C0C0C0C0C0C), (4, 0x00F000F000F000F0), (8, 0x0000FF000000FF00), (16, 0x00000000FFFF0000))
+
+
 def _walked_back(tile_id: Column, z: Column) -> Column:
-    def step(acc: Column, b: Column) -> Column:
-        s = _shl(b)
-        quarter = acc["t"].bitwiseAND(F.lit(3).cast("long"))
-        rx = F.when(quarter >= 2, 1).otherwise(0)
-        ry = F.when((quarter == 1) | (quarter == 2), 1).otherwise(0)
-        flip = (ry == 0) & (rx == 1)
-        fx = F.when(flip, s - 1 - acc["x"]).otherwise(acc["x"])
-        fy = F.when(flip, s - 1 - acc["y"]).otherwise(acc["y"])
-        nx = F.when(ry == 0, fy).otherwise(fx) + rx * s
-        ny = F.when(ry == 0, fx).otherwise(fy) + ry * s
-        return F.struct(F.shiftright(acc["t"], 2).alias("t"), nx.alias("x"), ny.alias("y"))
-
-    bits = F.when(z > 0, F.sequence(F.lit(0), z - 1)).otherwise(F.array().cast("array<int>"))
-    zero = F.struct((tile_id - lower_zooms(z)).alias("t"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"))
-    return F.aggregate(bits, zero, step, lambda acc: F.struct(z.alias("z"), acc["x"].alias("x"), acc["y"].alias("y")))
+    """A place along the curve to x and y, all zoom steps at once: whether the curve is mirrored or turned over at a step
+    is the exclusive or of what the steps before did, a prefix that takes as many rounds as the logarithm of the steps."""
+    down = F.shiftrightunsigned
+    even = F.lit(EVEN)
+    # pairs of bits above the zoom that change nothing
+    padded = (tile_id - lower_zooms(z)).bitwiseOR(F.call_function("shiftleft", even, z * 2))
+
+    def with_above(k: int):
+        return lambda c: c.bitwiseXOR(down(c, k))
+
+    def parted(shift: int, mask: int):
+        return lambda v: _once(v.bitwiseXOR(down(v, shift)).bitwiseAND(F.lit(mask)), lambda t: v.bitwiseXOR(t).bitwiseXOR(F.shiftleft(t, shift)))
+
+    def quadrants(s: Column) -> Column:
+        high = down(s, 1).bitwiseAND(even)
+        state = (s.bitwiseAND(even) + high).bitwiseXOR(even)
+        for k in (2, 4, 8, 16, 32):
+            state = _once(state, with_above(k))
+        return _once(F.struct(high.alias("high"), state.alias("state")), lambda p: combined(s, p["high"], p["state"]))
+
+    def combined(s: Column, high: Column, state: Column) -> Column:
+        turned = s.bitwiseAND(state.bitwiseAND(even)).bitwiseXOR(down(state, 1).bitwiseAND(even))
+        return s.bitwiseXOR(high).bitwiseXOR(turned).bitwiseXOR(F.shiftleft(turned, 1))
+
+    bits = _once(padded, quadrants).bitwiseAND(_shl(z * 2) - 1)
+    for shift, mask in UNSHUFFLE:
+        bits = _once(bits, parted(shift, mask))
+    return _once(bits, lambda v: F.struct(z.alias("z"), down(v, 32).alias("x"), v.bitwiseAND(F.lit(0xFFFFFFFF)).alias("y")))
 
 
 def parent_tile(z: Column, x: Column, y: Column, s: Column) -> Column:
